@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataform.operators.skew import HOT_ROWS, split_hot
+
 _GROUP_AGGREGATES = {"count": F.count, "min": F.min, "max": F.max}
 
 
@@ -76,3 +78,27 @@ def back_fill(
     }
     joined = cut.join(nexts, same, "left")
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+
+
+def row_positions(
+    df: DataFrame, by: Sequence[str], order: Sequence, block, name: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Position of each row in its group, from 0, for tables that lack ``num_groupN``.
+
+    ``order`` must have no ties. ``block`` is a coarse form of it, a column that never
+    decreases along the order: hot groups are numbered block by block, in many tasks.
+    """
+    by = list(by)
+    light, hot = split_hot(df, by, hot_rows)
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    numbered = light.withColumn(name, place.cast("long"))
+
+    cut = hot.withColumn("_block", block)
+    sizes = cut.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_m"))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(
+        *by, "_block", F.coalesce(F.sum("_m").over(earlier), F.lit(0)).alias("_start")
+    )
+    inside = F.row_number().over(Window.partitionBy(*by, "_block").orderBy(*order)) - 1
+    parts = cut.join(starts, [*by, "_block"]).withColumn(name, (F.col("_start") + inside).cast("long"))
+    return numbered.unionByName(parts.drop("_block", "_start"))
