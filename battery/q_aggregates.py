@@ -65,7 +65,7 @@ SELECT case_id, round(median(price_A), 6) AS "medianprice_A", round(median(disco
        round(median(CAST(ship_D - DATE '1970-01-01' AS DOUBLE)), 6) AS "medianship_D"
 FROM fx_child1 GROUP BY case_id""")
 one("a9_var", ["price_A", "quantity_A"], """
-SELECT case_id, round(var_samp(price_A), 6) AS "varprice_A", round(var_samp(quantity_A), 6) AS "varquantity_A"
+SELECT case_id, CAST(CAST(var_samp(price_A) AS FLOAT) AS DOUBLE) AS "varprice_A", CAST(CAST(var_samp(quantity_A) AS FLOAT) AS DOUBLE) AS "varquantity_A"
 FROM fx_child1 GROUP BY case_id""")
 
 
@@ -95,7 +95,7 @@ def suffix_sql(serving: bool) -> str:
     for c in ("price_A", "quantity_A", "discount_P"):
         out += [(f"last_{c}", f"round({_last(c)}, 6)"), (f"max_{c}", f"round(max({c}), 6)"),
                 (f"mean_{c}", f"round(avg({c}), 6)"), (f"median{c}", f"round(median({c}), 6)")]
-        out.append((f"min_{c}", f"round(min({c}), 6)") if serving else (f"var{c}", f"round(var_samp({c}), 6)"))
+        out.append((f"min_{c}", f"round(min({c}), 6)") if serving else (f"var{c}", f"CAST(CAST(var_samp({c}) AS FLOAT) AS DOUBLE)"))
     day = DAY.format("ship_D")
     out += [("last_ship_D", f"CAST({_last('ship_D')} AS VARCHAR)"), ("max_ship_D", "CAST(max(ship_D) AS VARCHAR)"),
             ("medianship_D", f"round(median({day}), 6)")]
@@ -331,9 +331,9 @@ def a22(spark, sf_dir):
 
 @query("a23_two_level_spread", """
 WITH s AS (SELECT case_id, ship_D, sum(price_A) AS x FROM fx_child1 WHERE ship_D IS NOT NULL GROUP BY case_id, ship_D)
-SELECT case_id, round(stddev_samp(x), 6) AS "price_A_sum_std" FROM s GROUP BY case_id""", "fx_child1")
+SELECT case_id, round(stddev_samp(x), 4) AS "price_A_sum_std" FROM s GROUP BY case_id""", "fx_child1")
 def a23(spark, sf_dir):
-    return v.rounded(agg.two_level_spread(v.child1(spark, sf_dir, False), "price_A", "ship_D"))
+    return v.rounded(agg.two_level_spread(v.child1(spark, sf_dir, False), "price_A", "ship_D"), 4)
 
 
 @query("a24_distinct_per_case", """

@@ -1 +1,120 @@
-"""."""
+"""Encoders E1-E10."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from battery import views as v
+from battery.registry import query
+from strataform.operators import binning, encode as e
+from strataform.operators.aggregates import target_means
+
+
+def rows_of(spark, sf_dir):
+    return v.child1(spark, sf_dir, False).select("case_id", "price_A", "quantity_A", "discount_P", "flag_M", "status_L")
+
+
+SPEC = {"transformations": {
+    "price_A": {"type": "standardization", "properties": {"mean": 50000.0, "stddev": 25000.0}},
+    "quantity_A": {"type": "binning", "properties": {"boundaries": [10, 20, 40]}},
+    "discount_P": {"type": "raw"},
+    "flag_M": {"type": "target_encoding", "properties": {"value": ["A", "R"], "encoded": [0.25, 0.75]}},
+    "status_L": {"type": "onehot", "properties": {"vocab": ["O", "F", "NA"]}},
+}}
+QUANTITY_BIN = "CASE WHEN quantity_A < 10 THEN 0 WHEN quantity_A < 20 THEN 1 WHEN quantity_A < 40 THEN 2 ELSE 3 END"
+
+
+@query("e1_apply_spec", f"""
+SELECT case_id, round((price_A - 50000) / 25000, 6) AS "price_A", {QUANTITY_BIN} AS "quantity_A",
+  round(discount_P, 6) AS "discount_P", CASE flag_M WHEN 'A' THEN 0.25 WHEN 'R' THEN 0.75 ELSE 0 END AS "flag_M",
+  CAST(status_L = 'O' AS INT) AS "status_L__0", CAST(status_L = 'F' AS INT) AS "status_L__1",
+  CAST(status_L = 'NA' AS INT) AS "status_L__2" FROM fx_child1""", "fx_child1")
+def e1(spark, sf_dir):
+    return v.rounded(e.apply_spec(rows_of(spark, sf_dir), e.check_spec(SPEC)))
+
+
+@query("e2_one_hot", """
+SELECT case_id, CAST(flag_M = 'A' AS INT) AS "flag_M__0", CAST(flag_M = 'R' AS INT) AS "flag_M__1" FROM fx_child1""",
+       "fx_child1")
+def e2(spark, sf_dir):
+    return rows_of(spark, sf_dir).select("case_id", *e.one_hot("flag_M", ["A", "R"]))
+
+
+@query("e3_target_encoding", """
+SELECT case_id, round(coalesce(m.encoded, 0), 6) AS "priority_M"
+FROM fx_base b LEFT JOIN (SELECT priority_M, avg(target) AS encoded FROM fx_base WHERE MONTH < 199806
+  AND priority_M <> '1-URGENT' GROUP BY priority_M) m ON b.priority_M = m.priority_M""", "fx_base")
+def e3(spark, sf_dir):
+    base = v.base(spark, sf_dir)
+    known = base.where("MONTH < 199806 AND priority_M <> '1-URGENT'")
+    means = target_means(known, "priority_M")
+    return v.rounded(e.target_encode(base.select("case_id", "priority_M"), "priority_M", means))
+
+
+@query("e4_binning", f"SELECT case_id, {QUANTITY_BIN} AS \"quantity_A\" FROM fx_child1", "fx_child1")
+def e4(spark, sf_dir):
+    return rows_of(spark, sf_dir).select("case_id", e.bin_index("quantity_A", [10, 20, 40]))
+
+
+@query("e5_standardise", """
+SELECT case_id, round((price_A - 50000) / 25000, 6) AS "price_A" FROM fx_child1""", "fx_child1")
+def e5(spark, sf_dir):
+    return v.rounded(rows_of(spark, sf_dir).select("case_id", e.standardise("price_A", 50000.0, 25000.0)))
+
+
+@query("e6_categorical", """
+SELECT case_id, num_group1, coalesce(type_1M, 'nan') AS "type_1M", round(dpd_1P, 6) AS "dpd_1P" FROM fx_depth2""", "fx_depth2")
+def e6(spark, sf_dir):
+    rows = v.depth2(spark, sf_dir, False).select("case_id", "num_group1", "type_1M", "dpd_1P")
+    return v.rounded(e.apply_spec(rows, {"type_1M": {"type": "categorical"}, "dpd_1P": {"type": "raw"}}))
+
+
+@query("e8_fit_standardise", """
+SELECT case_id, round((price_A - (SELECT avg(price_A) FROM fx_child1)) / (SELECT stddev_samp(price_A) FROM fx_child1), 6) AS "price_A",
+  round((discount_P - (SELECT avg(discount_P) FROM fx_child1)) / (SELECT stddev_samp(discount_P) FROM fx_child1), 6) AS "discount_P"
+FROM fx_child1""", "fx_child1")
+def e8(spark, sf_dir):
+    rows = rows_of(spark, sf_dir).select("case_id", "price_A", "discount_P")
+    return v.rounded(e.apply_spec(rows, e.fit_standardise(rows, ["price_A", "discount_P"])))
+
+
+SKEWED = "exp(price_A / 10000)"
+E9_DECILES = ", ".join(f"quantile_cont(x, {i / 10}) AS q{i - 1}" for i in range(1, 10))
+
+
+@query("e9_derived_shape", f"""
+WITH l AS (SELECT 'price_A' AS col, price_A AS x FROM fx_child1 UNION ALL SELECT 'discount_P', discount_P FROM fx_child1
+  UNION ALL SELECT 'skewed_A', {SKEWED} FROM fx_child1),
+a AS (SELECT col, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS stddev, skewness(x) AS skew, {E9_DECILES}
+  FROM l WHERE x IS NOT NULL GROUP BY col)
+SELECT col, n, round(mean, 4) AS mean, round(stddev, 4) AS stddev, round(skew, 4) AS skew,
+  {", ".join(f"round(q{i}, 4) AS q{i}" for i in range(9))},
+  CASE WHEN abs(skew) >= 2 THEN 'binning' ELSE 'standardization' END AS type FROM a""", "fx_child1")
+def e9(spark, sf_dir):
+    rows = v.child1(spark, sf_dir, False).select(
+        "case_id", "price_A", "discount_P", F.exp(F.col("price_A") / 10000).alias("skewed_A"),
+        (F.col("tax_T") > 0.04).cast("int").alias("target"),
+    )
+    columns = ["price_A", "discount_P", "skewed_A"]
+    spec = e.derive_spec(rows, columns, [], "target", detailed=True)
+    kind = F.create_map(*[F.lit(x) for c in columns for x in (c, spec[c]["type"])])
+    return v.rounded(e.numeric_shape(rows, columns, "target").withColumn("type", kind[F.col("col")]), 4)
+
+
+@query("e9_apply_derived_spec", """
+SELECT case_id, round((total_A - (SELECT avg(total_A) FROM fx_base)) / (SELECT stddev_samp(total_A) FROM fx_base), 6) AS "total_A",
+  round((SELECT avg(target) FROM fx_base m WHERE m.priority_M = b.priority_M), 6) AS "priority_M" FROM fx_base b""", "fx_base")
+def e9_apply(spark, sf_dir):
+    rows = v.base(spark, sf_dir).select("case_id", "total_A", "priority_M", "target")
+    spec = e.derive_spec(rows, ["total_A"], ["priority_M"], "target", detailed=True)
+    return v.rounded(e.apply_spec(rows.drop("target"), spec))
+
+
+@query("e10_bin_encoder")
+def e10(spark, sf_dir):
+    # codes 0..k-1 per case from bins fitted against a target the amount carries
+    rows = v.base(spark, sf_dir).select(
+        "case_id", "total_A", "WEEK_NUM", (F.col("total_A") > 250000).cast("int").alias("target")
+    )
+    spec = binning.fit_bin_encoder(rows, ["total_A", "WEEK_NUM"], "target")
+    return e.apply_spec(rows.select("case_id", "total_A", "WEEK_NUM"), spec)

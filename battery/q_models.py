@@ -1 +1,132 @@
-"""."""
+"""Models V6-V11 and selection B8-B10, on a target the features carry."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from battery import views as v
+from battery.registry import query
+from strataform.operators import metrics, models
+from strataform.operators.splits import fraction_split
+from strataform.session import scratch_path
+
+FEATURES = ["mean_price", "max_price", "mean_quantity", "n_lines", "max_flag"]
+SMALL = {"maxIter": 5, "maxDepth": 3}
+
+
+def matrix(spark, sf_dir):
+    """Case aggregates; the target asks whether a case has a large quantity."""
+    rows = v.child1(spark, sf_dir, False).groupBy("case_id").agg(
+        F.avg("price_A").alias("mean_price"), F.max("price_A").alias("max_price"),
+        F.avg("quantity_A").alias("mean_quantity"), F.count(F.lit(1)).alias("n_lines"),
+        F.max("flag_M").alias("max_flag"), (F.max("quantity_A") >= 40).cast("int").alias("target"),
+    )
+    return rows.join(v.base(spark, sf_dir).select("case_id", "WEEK_NUM"), "case_id")
+
+
+def parts(spark, sf_dir):
+    return fraction_split(matrix(spark, sf_dir), 0.75, salt="model")
+
+
+def trained(spark, sf_dir, params=None):
+    train, test = parts(spark, sf_dir)
+    return models.train_trees(train, FEATURES, params=params or SMALL), test
+
+
+QUALITY = """
+SELECT count(DISTINCT l_orderkey) AS rows, true AS learned, true AS in_range FROM lineitem
+WHERE ('0x' || substr(md5('model|' || CAST(l_orderkey AS VARCHAR)), 1, 8))::BIGINT % 10000 >= 7500"""
+
+
+@query("v6_train_trees", QUALITY)
+def v6(spark, sf_dir):
+    # trained with early stopping on the held-out part, which it must rank well
+    train, test = parts(spark, sf_dir)
+    model = models.train_trees(train, FEATURES, validation=test, params=SMALL)
+    scored = models.score_frame(model, test, FEATURES, ["case_id", "target"])
+    area = metrics.auc(scored).first()["auc"]
+    return scored.agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(area > 0.8).alias("learned"),
+        F.bool_and(F.col("score").between(0, 1)).alias("in_range"),
+    )
+
+
+@query("v7_batch_score")
+def v7(spark, sf_dir):
+    model, test = trained(spark, sf_dir)
+    return v.rounded(models.score_frame(model, test, FEATURES))
+
+
+@query("v7_score_report")
+def v7_report(spark, sf_dir):
+    model, test = trained(spark, sf_dir)
+    return v.rounded(models.score_report(models.score_frame(model, test, FEATURES, ["target"])))
+
+
+@query("v9_parameter_search")
+def v9(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    grid = models.sampled_grid({"maxDepth": [2, 3], "maxIter": [2, 4]}, 2)
+    _, best, values = models.search(train, test, FEATURES, grid)
+    rows = [(g["maxDepth"], g["maxIter"], value, g == best) for g, value in zip(grid, values)]
+    return v.rounded(spark.createDataFrame(rows, "max_depth int, max_iter int, auc double, best boolean"))
+
+
+@query("v9_search_by_stability")
+def v9_stability(spark, sf_dir):
+    train, test = parts(spark, sf_dir)
+    grid = [{"maxDepth": 2, "maxIter": 3}]
+    _, _, values = models.search(train, test, FEATURES, grid, metric="stability")
+    return v.rounded(spark.createDataFrame([(values[0],)], "stability double"))
+
+
+@query("v10_save_and_load", QUALITY.replace("learned", "same_scores"))
+def v10(spark, sf_dir):
+    model, test = trained(spark, sf_dir)
+    path = scratch_path(spark, "model")
+    models.save_model(model, {"mean_price": {"type": "raw"}}, FEATURES, path)
+    loaded, meta = models.load_model(spark, path)
+    before = models.score_frame(model, test, FEATURES, name="before")
+    after = models.score_frame(loaded, test, meta["features"], name="after")
+    return before.join(after, "case_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.bool_and(F.col("before") == F.col("after")).alias("same_scores"),
+        F.bool_and(F.col("after").between(0, 1)).alias("in_range"),
+    )
+
+
+@query("v11_fold_ensemble")
+def v11(spark, sf_dir):
+    """A model per configured fold; scores averaged over the models (V8)."""
+    conf = models.parse_models({"features": FEATURES, "models": {
+        f"m{i}": {"type": "lightgbm", "train_root_dir": f"train{i}", "val_root_dir": f"val{i}"} for i in range(2)
+    }})
+    train, test = parts(spark, sf_dir)
+    folds = fraction_split(train, 0.5, salt="fold")
+    scored = [
+        models.score_frame(models.train_trees(folds[i], c.features, validation=folds[1 - i], params=SMALL), test, c.features)
+        for i, c in enumerate(conf)
+    ]
+    return v.rounded(metrics.ensemble_mean(scored))
+
+
+@query("b8_importance_selection")
+def b8(spark, sf_dir):
+    rows = matrix(spark, sf_dir).withColumn("constant", F.lit(1.0))
+    kept = models.select_by_importance(rows, [*FEATURES, "constant"], params=SMALL)
+    return rows.select("case_id", *kept)
+
+
+@query("b9_mean_threshold_selection")
+def b9(spark, sf_dir):
+    rows = matrix(spark, sf_dir)
+    return rows.select("case_id", *models.select_above_mean(rows, FEATURES, trees=5, most=3))
+
+
+@query("b10_selection_rounds")
+def b10(spark, sf_dir):
+    rows = matrix(spark, sf_dir)
+    kept, log = models.select_in_rounds(
+        lambda names: rows.select("case_id", "target", *names), FEATURES, [3, 5], params={"maxIter": 2, "maxDepth": 2}
+    )
+    named = [(turn, part, name, name in kept) for (turn, part), names in log.items() for name in names]
+    return spark.createDataFrame(named, "turn int, part int, feature string, final boolean")

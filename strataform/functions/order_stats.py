@@ -31,6 +31,24 @@ def _group_window(keys: Sequence[str], order: str) -> tuple[Window, Window]:
     return group, group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def _cut(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Counts with their block, laid out by (keys, block).
+
+    Both users of the result must see the same rows and columns below this exchange,
+    or Spark computes it twice; hence the explicit null test here and the use of the
+    value in ``_block_totals``.
+    """
+    cut = counts.withColumn("_block", value_block(F.col(value)))
+    return cut.where(F.col(value).isNotNull() & F.col("_block").isNotNull()).repartition(*keys, "_block")
+
+
+def _block_totals(cut: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+    totals = cut.groupBy(*keys, "_block").agg(
+        F.max(value).alias("_top"), *[F.sum(w).alias(f"_t_{w}") for w in weights]
+    )
+    return totals.where("_top IS NOT NULL").drop("_top")
+
+
 def running_before(
     counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]
 ) -> DataFrame:
@@ -39,10 +57,8 @@ def running_before(
     ``counts`` holds one row per (keys, value).
     """
     keys = list(keys)
-    # Both branches below start from this one exchange, which Spark reuses.
-    cut = counts.withColumn("_block", value_block(F.col(value)))
-    cut = cut.repartition(*keys, "_block")
-    totals = cut.groupBy(*keys, "_block").agg(*[F.sum(w).alias(f"_t_{w}") for w in weights])
+    cut = _cut(counts, keys, value)
+    totals = _block_totals(cut, keys, value, weights)
     _, earlier = _group_window(keys, "_block")
     totals = totals.select(
         *keys, "_block",
@@ -81,24 +97,25 @@ def exact_quantiles(
     the position rounded half to even.
     """
     keys = list(keys)
-    cut = counts.withColumn("_block", value_block(F.col(value))).repartition(*keys, "_block")
+    counts = counts.select(*keys, value, "n")
+    cut = _cut(counts, keys, value)
     group, earlier = _group_window(keys, "_block")
     blocks = (
-        cut.groupBy(*keys, "_block").agg(F.sum("n").alias("_m"))
+        _block_totals(cut, keys, value, ["n"]).withColumnRenamed("_t_n", "_m")
         .withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
         .withColumn("rows", F.sum("_m").over(group))
     )
-    at = [F.lit(float(p)) * (F.col("rows") - 1) for p in probs]
-    if method == "linear":
-        low, high = [F.floor(h) for h in at], [F.ceil(h) for h in at]
-    elif method == "nearest":
-        low = high = [F.rint(h).cast("long") for h in at]
-    else:
+    if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
-    targets = F.array(*low, *high)
+    levels = "array(" + ", ".join(_number(p) for p in probs) + ")"
+
+    def places(rounding: str) -> str:
+        return f"transform({levels}, p -> CAST({rounding}(p * (rows - 1)) AS BIGINT))"
+
+    wanted = places("rint") if method == "nearest" else f"array_union({places('floor')}, {places('ceil')})"
     # Only the blocks that hold a wanted position go on: 2 * len(probs) per group.
     hits = blocks.where(
-        F.exists(targets, lambda t: (t >= F.col("_before")) & (t < F.col("_before") + F.col("_m")))
+        f"exists({wanted}, t -> t >= _before AND t < _before + _m)"
     ).select(*keys, "_block", "_before", "rows")
     inside = (
         Window.partitionBy(*keys, "_block").orderBy(value)
@@ -107,23 +124,34 @@ def exact_quantiles(
     ranked = cut.join(hits, [*keys, "_block"]).withColumn(
         "_first", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
     )
-
-    def pick(position: Column) -> Column:
-        here = (position >= F.col("_first")) & (position < F.col("_first") + F.col("n"))
-        return F.max(F.when(here, F.col(value)))
-
-    picked = ranked.groupBy(*keys).agg(
+    mine = f"filter(array_distinct({wanted}), t -> t >= _first AND t < _first + n)"
+    found = ranked.select(*keys, "rows", F.col(value).alias("_v"), F.explode(F.expr(mine)).alias("_at"))
+    # The collected list has one entry per wanted position, whatever the group's size.
+    picked = found.groupBy(*keys).agg(
         F.max("rows").alias("rows"),
-        *[pick(p).alias(f"_lo{i}") for i, p in enumerate(low)],
-        *[pick(p).alias(f"_hi{i}") for i, p in enumerate(high)],
+        F.map_from_entries(F.collect_list(F.struct("_at", F.col("_v").cast("double")))).alias("_values"),
     )
-    out = []
-    for i, position in enumerate(at):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        part = position - F.floor(position)
-        mixed = F.when(lo == hi, lo).otherwise(lo + (hi - lo) * part)
-        out.append((mixed if method == "linear" else lo).cast("double").alias(f"q{i}"))
-    return picked.select(*keys, "rows", *out)
+    return picked.selectExpr(
+        *[f"`{k}`" for k in keys], "rows",
+        *[f"{_quantile_text(p, method)} AS q{i}" for i, p in enumerate(probs)],
+    )
+
+
+def _number(value: float) -> str:
+    return f"CAST('{float(value)!r}' AS DOUBLE)"
+
+
+def _quantile_text(p: float, method: str) -> str:
+    """SQL text of one quantile, from the map of position to value."""
+    at = f"{_number(p)} * (rows - 1)"
+
+    def value(rounding: str) -> str:
+        return f"try_element_at(_values, CAST({rounding}({at}) AS BIGINT))"
+
+    if method == "nearest":
+        return value("rint")
+    lo, hi = value("floor"), value("ceil")
+    return f"CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({at} - floor({at})) END"
 
 
 def column_value_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

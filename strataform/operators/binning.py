@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform import rules
-from strataform.functions.columns import FLOATING, columns_of, ratio
+from strataform.functions.columns import FLOATING, columns_of
 from strataform.functions.order_stats import exact_quantiles, value_counts
 from strataform.operators.joins import with_group_totals
 from strataform.operators.projections import promote_numeric_text
@@ -31,10 +31,9 @@ class Bins:
         return self.edges[1:-1]
 
 
-def share_log(a: Column, b: Column) -> Column:
+def _share_log_text(a: str, b: str) -> str:
     """(a - b) * ln(a / b), 0 where either share is 0."""
-    both = (a > 0) & (b > 0)
-    return F.when(both, (a - b) * F.ln(F.try_divide(a, b))).otherwise(0.0)
+    return f"CASE WHEN {a} > 0 AND {b} > 0 THEN ({a} - {b}) * ln(try_divide({a}, {b})) ELSE 0D END"
 
 
 def _plain_floats(df: DataFrame) -> DataFrame:
@@ -58,10 +57,29 @@ def _filled_counts(df: DataFrame, columns: Sequence[str], fill: bool) -> DataFra
     )
 
 
-def _edges(counts: DataFrame, parts: int) -> dict[str, tuple[float, ...]]:
+def _edges_below(value: Column, edges: Sequence[float]) -> Column:
+    """Number of edges under a value: its bin where bins are closed on the right."""
+    return F.size(F.filter(_double_array(edges), lambda e: e < value))
+
+
+def _edges_upto(value: Column, edges: Sequence[float]) -> Column:
+    """Number of edges under or at a value: its bin where bins are closed on the left."""
+    return F.size(F.filter(_double_array(edges), lambda e: e <= value))
+
+
+def _double_array(values: Sequence[float]) -> Column:
+    return F.expr("CAST(array(" + ", ".join(f"'{float(x)!r}'" for x in values) + ") AS ARRAY<DOUBLE>)")
+
+
+def _edges(counts: DataFrame, parts: int, sizes: DataFrame | None = None):
+    """(edges, distinct values) per column; only they reach the driver."""
     probs = [i / parts for i in range(parts + 1)]
-    rows = exact_quantiles(counts, ["col"], probs).collect()
-    return {r["col"]: tuple(sorted({r[f"q{i}"] for i in range(parts + 1)})) for r in rows}
+    found = exact_quantiles(counts, ["col"], probs)
+    if sizes is not None:
+        found = found.join(sizes, "col")
+    rows = [r.asDict() for r in found.collect()]
+    edges = {r["col"]: tuple(sorted({r[f"q{i}"] for i in range(parts + 1)})) for r in rows}
+    return edges, {r["col"]: r.get("distinct") for r in rows}
 
 
 def fit_bins(
@@ -79,18 +97,13 @@ def fit_bins(
     if not numbers:
         return out
     counts = _filled_counts(df, numbers, fill)
-    sizes = {
-        r["col"]: r["distinct"]
-        for r in counts.groupBy("col").agg(F.count_if(F.col("known") > 0).alias("distinct")).collect()
-    }
-    wide = [c for c in numbers if sizes.get(c, 0) > few]
-    out.update({c: Bins("value") for c in numbers if c not in wide})
-    if wide:
-        found = _edges(counts.where(F.col("col").isin(wide)), parts)
-        flat = [c for c in wide if len(found[c]) <= 2]
-        if flat:
-            found.update(_edges(counts.where(F.col("col").isin(flat)), finer))
-        out.update({c: Bins("edges", found[c]) for c in wide})
+    sizes = counts.groupBy("col").agg(F.count_if(F.col("known") > 0).alias("distinct"))
+    found, distinct = _edges(counts, parts, sizes)
+    wide = [c for c in numbers if distinct.get(c, 0) > few]
+    flat = [c for c in wide if len(found[c]) <= 2]
+    if flat:
+        found.update(_edges(counts.where(F.col("col").isin(flat)), finer)[0])
+    out.update({c: Bins("edges", found[c]) if c in wide else Bins("value") for c in numbers})
     return out
 
 
@@ -103,8 +116,7 @@ def bin_of(column: str, bins: Bins, prefix: int = 7) -> tuple[Column, Column]:
         order = F.coalesce(value.cast("double"), F.lit(math.inf))
         return order, F.coalesce(value.cast("string"), F.lit("nan"))
     filled = F.coalesce(value.cast("double"), F.lit(float(rules.FILL_VALUE)))
-    edges = F.array(*[F.lit(e) for e in bins.inner]) if bins.inner else F.array().cast("array<double>")
-    index = F.size(F.filter(edges, lambda e: e < filled))
+    index = _edges_below(filled, bins.inner)
     labels = F.array(*[
         F.lit(f"({lo}, {hi}]") for lo, hi in zip(bins.edges[:-1], bins.edges[1:])
     ] or [F.lit(f"[{bins.edges[0]}]")])
@@ -168,20 +180,22 @@ def fine_class_report(
     Without a holdout flag only the development columns are returned.
     """
     counts = bin_counts(df, columns, label, holdout, **options)
-    for part in ("dev", "val"):
-        good, bad = F.col(f"{part}_good"), F.col(f"{part}_bad")
-        counts = counts.withColumn(f"{part}_all", good + bad)
-        counts = counts.withColumn(f"{part}_bad_rate", ratio(bad, good + bad))
+    sides = [f"{p}_{k}" for p in ("dev", "val") for k in ("good", "bad")]
+    counts = counts.selectExpr("col", "bin", "bin_order", *sides, *[
+        text for p in ("dev", "val") for text in (
+            f"{p}_good + {p}_bad AS {p}_all",
+            f"try_divide({p}_bad, {p}_good + {p}_bad) AS {p}_bad_rate",
+        )
+    ])
     base = [f"{p}_{k}" for p in ("dev", "val") for k in ("all", "good", "bad")]
     report = with_group_totals(counts, "col", base)
-    report = report.withColumns({
-        f"{c}_proportion": ratio(F.col(c), F.col(f"{c}_total")) for c in base
-    })
-    report = report.withColumns({
-        "dev_IV": share_log(F.col("dev_good_proportion"), F.col("dev_bad_proportion")),
-        "val_IV": share_log(F.col("val_good_proportion"), F.col("val_bad_proportion")),
-        "PSI": share_log(F.col("val_all_proportion"), F.col("dev_all_proportion")),
-    })
+    report = report.selectExpr("*", *[f"try_divide({c}, {c}_total) AS {c}_proportion" for c in base])
+    report = report.selectExpr(
+        "*",
+        f"{_share_log_text('dev_good_proportion', 'dev_bad_proportion')} AS dev_IV",
+        f"{_share_log_text('val_good_proportion', 'val_bad_proportion')} AS val_IV",
+        f"{_share_log_text('val_all_proportion', 'dev_all_proportion')} AS PSI",
+    )
     report = with_group_totals(report, "col", ["dev_IV", "val_IV", "PSI"])
     if holdout is None:
         report = report.select("col", "bin", "bin_order", *[c for c in report.columns if "dev" in c])
@@ -242,8 +256,7 @@ def fine_bins(
         edges = list(splits) if splits is not None else fine_edges(
             rows.where(value.isNotNull() & ~coded), column, parts, precision
         )
-        limits = F.array(*[F.lit(float(e)) for e in edges])
-        index = F.size(F.filter(limits, lambda e: e <= value.cast("double"))) - 1
+        index = _edges_upto(value.cast("double"), edges) - 1
         names = F.array(*[F.lit(f"[{lo}, {hi})") for lo, hi in zip(edges[:-1], edges[1:])])
         inside = (index >= 0) & (index < len(edges) - 1)
         text = F.when(inside, F.get(names, index))
@@ -262,15 +275,14 @@ def fine_bins(
         F.count(F.lit(1)).alias("count"), F.count_if("_hit").alias("event")
     ).withColumn("non_event", F.col("count") - F.col("event")).withColumn("_all", F.lit(0))
     table = with_group_totals(table, "_all", ["count", "event", "non_event"])
-    table = table.select(
+    table = table.selectExpr(
         "bin", "bin_order", "count", "event", "non_event",
-        ratio(F.col("count"), F.col("count_total")).alias("count_pct"),
-        ratio(F.col("event"), F.col("count")).alias("event_rate"),
-        ratio(F.col("event"), F.col("event_total")).alias("event_pct"),
-        ratio(F.col("non_event"), F.col("non_event_total")).alias("non_event_pct"),
+        "try_divide(count, count_total) AS count_pct",
+        "try_divide(event, count) AS event_rate",
+        "try_divide(event, event_total) AS event_pct",
+        "try_divide(non_event, non_event_total) AS non_event_pct",
     )
-    iv = share_log(F.col("event_pct"), F.col("non_event_pct"))
-    return table.withColumn("iv", iv), edges
+    return table.selectExpr("*", f"{_share_log_text('event_pct', 'non_event_pct')} AS iv"), edges
 
 
 # -- E10 ------------------------------------------------------------------------
@@ -317,13 +329,12 @@ def fit_bin_encoder(
     long = rows.select(label, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [label], list(columns), "col", "value"
     )
-    edges = _edges(value_counts(long, ["col"]), parts)
+    edges, _ = _edges(value_counts(long, ["col"]), parts)
     inner = {c: sorted(set(edges.get(c, ())[1:-1])) for c in columns}
     pairs = [
         F.when(F.col(c).isNotNull(), F.struct(
             F.lit(c).alias("col"),
-            F.size(F.filter(F.array(*[F.lit(e) for e in inner[c]]).cast("array<double>"),
-                            lambda e, c=c: e <= F.col(c).cast("double"))).alias("bin"),
+            _edges_upto(F.col(c).cast("double"), inner[c]).alias("bin"),
         ))
         for c in columns
     ]

@@ -38,24 +38,35 @@ def back_fill(
     order: str,
     by: Sequence[str] = (),
     span: int = 100_000,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """A null takes the next non-null value in ``order`` (an integer) within ``by``.
 
-    The order axis is cut into spans. A null looks ahead inside its span, then
-    takes the first value of the next span that has one, so neither a hot group
-    nor a table without groups ends up in one task. NaN counts as missing.
+    NaN counts as missing. Ordinary groups are one window each. Hot groups, or a table
+    without groups, are cut into spans of the order axis: a null looks ahead inside its
+    span, then takes the first value of the next span that has one.
     """
     by, columns = list(by), list(columns)
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    df = df.select(*[
+        F.when(~F.isnan(c), F.col(c)).alias(c) if c in columns and c in floats else F.col(c)
+        for c in df.columns
+    ])
+    if not by:
+        return _back_fill_spans(df, columns, order, by, span)
+    light, hot = split_hot(df, by, hot_rows)
+    ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    done = light.select(*[
+        F.first(c, ignorenulls=True).over(ahead).alias(c) if c in columns else F.col(c)
+        for c in df.columns
+    ])
+    return done.unionByName(_back_fill_spans(hot, columns, order, by, span))
 
-    def present(name: str):
-        value = F.col(name)
-        return F.when(~F.isnan(value), value) if name in floats else value
 
-    cut = df.select(
-        *[present(c).alias(c) if c in columns else F.col(c) for c in df.columns],
-        F.floor(F.col(order) / span).alias("_span"),
-    )
+def _back_fill_spans(
+    df: DataFrame, columns: list[str], order: str, by: list[str], span: int
+) -> DataFrame:
+    cut = df.withColumn("_span", F.floor(F.col(order) / span))
     firsts = cut.groupBy(*by, "_span").agg(*[
         F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f{i}")
         for i, c in enumerate(columns)
