@@ -19,6 +19,7 @@ from strataform.functions.columns import columns_of, key_bucket
 from strataform.operators import metrics
 from strataform.operators.aggregates import class_ratio, correlation, target_means
 from strataform.operators.encode import MAX_CATEGORIES, target_encode
+from strataform.session import materialise
 
 MISSING_TEXT = "nan"
 
@@ -71,10 +72,11 @@ def train_trees(
     if validation is not None:
         held = _prepared(validation.where(F.col(label).isNotNull()), features)
         flagged = flagged.unionByName(held.select(*features, label, F.lit(True).alias("_held")))
-    data = flagged.select(
+    # Boosting reads its input once per tree level: it starts from a written table.
+    data = materialise(flagged.select(
         *features, "_held", F.col(label).cast("double").alias("_label"),
         F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0).alias("_weight"),
-    )
+    ), "train")
     stages, texts = feature_stages(data, features)
     settings = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
     settings.update(params or {})
@@ -160,6 +162,7 @@ def search(
 ) -> tuple[PipelineModel, dict, list[float]]:
     """V9: (best model, its parameters, value per trial) by AUC or by stability."""
     best, values = None, []
+    train, validation = materialise(train, "search-train"), materialise(validation, "search-validation")
     keep = [label, *([week] if metric == "stability" else [])]
     for params in grid:
         model = train_trees(train, features, label, params=params)
@@ -223,9 +226,8 @@ def select_above_mean(
     most: int | None = None, seed: int = 42,
 ) -> list[str]:
     """Features of at least mean importance in a random forest, at most ``most``."""
-    data = _prepared(df.where(F.col(label).isNotNull()), features).withColumn(
-        "_label", F.col(label).cast("double")
-    )
+    rows = _prepared(df.where(F.col(label).isNotNull()), features)
+    data = materialise(rows.select(*features, F.col(label).cast("double").alias("_label")), "forest")
     stages, texts = feature_stages(data, features)
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="_label", numTrees=trees, seed=seed,

@@ -39,9 +39,12 @@ def fold_map(df: DataFrame, folds: int, group: str = "WEEK_NUM") -> dict:
     return out
 
 
-def with_fold(df: DataFrame, folds: int, group: str = "WEEK_NUM") -> DataFrame:
-    """Rows with ``fold``; all rows of a group share one."""
-    found = fold_map(df, folds, group)
+def with_fold(
+    df: DataFrame, folds: int, group: str = "WEEK_NUM", sizes: DataFrame | None = None
+) -> DataFrame:
+    """Rows with ``fold``; all rows of a group share one. ``sizes``: a cheaper frame
+    with the same groups to count."""
+    found = fold_map(df if sizes is None else sizes, folds, group)
     table = df.sparkSession.createDataFrame(
         [(k, v) for k, v in found.items()], f"_g {df.schema[group].dataType.simpleString()}, fold int"
     )

@@ -16,6 +16,7 @@ from strataform.operators.projections import (
 from strataform.operators.setops import concat_relaxed, unique_by_key
 from strataform.operators.splits import fraction_split, with_fold
 from strataform.plans.definition import Feature, compute_features, feature_batches
+from strataform.session import materialise
 
 
 def topic_rows(parts: Sequence[DataFrame], depth: int, table: Mapping = rules.TRAIN_RULES,
@@ -41,10 +42,16 @@ def suffix_matrix(
     return days_since_decision(wide)
 
 
-def folds(wide: DataFrame, train_ratio: float, count: int) -> tuple[DataFrame, DataFrame]:
-    """R7 splits: (training rows with ``fold``, test rows)."""
+def folds(
+    wide: DataFrame, train_ratio: float, count: int, base: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """R7 splits: (training rows with ``fold``, test rows).
+
+    With ``base`` the week sizes are counted there and not over the wide plan.
+    """
     train, test = fraction_split(wide, train_ratio)
-    return with_fold(train, count), test
+    sizes = None if base is None else fraction_split(base, train_ratio)[0]
+    return with_fold(train, count, sizes=sizes), test
 
 
 def feature_matrix(
@@ -62,7 +69,7 @@ def feature_matrix(
         data = compute_features(with_decision(rows, base), features[name]).drop("target")
         frames.append(tag_clashing(data, name))
     wide = date_to_period(join_batches(wide, frames))
-    return narrow_types(wide) if narrow else wide
+    return narrow_types(materialise(wide, "matrix")) if narrow else wide
 
 
 def serving_matrix(

@@ -13,6 +13,7 @@ from strataform.operators.joins import join_nested
 from strataform.operators.projections import first_child, narrow_types
 from strataform.operators.skew import HOT_ROWS
 from strataform.plans.depth2 import BUREAU_PAIRS, FLATTENED, reduce_nested, stack_contracts
+from strataform.session import materialise
 from strataform.sources.catalog import Catalog
 
 
@@ -38,7 +39,11 @@ def declare(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
 
 
 def prepare_topic(catalog: Catalog, name: str, depth: int, split: str, narrow: bool = True) -> DataFrame:
-    """One prepared topic. The plan is lazy but for the type pass of ``narrow``."""
+    """One prepared topic.
+
+    ``narrow`` needs the extremes of every column, so the joined rows are written once
+    and both the type pass and the result read them back.
+    """
     rules.check_topic(name)
     if depth == 2:
         if name not in FLATTENED:
@@ -50,7 +55,7 @@ def prepare_topic(catalog: Catalog, name: str, depth: int, split: str, narrow: b
         )
     else:
         out = catalog.read(name, depth, split)
-    return narrow_types(out) if narrow else out
+    return narrow_types(materialise(out, f"prepare-{name}")) if narrow else out
 
 
 def prepare_all(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strataform import rules
 from strataform.operators.aggregates import type_aggregate
+from strataform.session import scratch_path
 
 
 def write_sorted(df: DataFrame, path: str, key: str = rules.KEY, files: int = 20) -> None:
@@ -27,10 +28,18 @@ def write_type_aggregate(df: DataFrame, path: str, key: str = rules.KEY) -> None
 
 
 def write_folds(train: DataFrame, test: DataFrame, path: str, folds: int, fold: str = "fold") -> None:
-    """``train{i}``, ``val{i}`` and ``test`` folders."""
+    """``train{i}``, ``val{i}`` and ``test`` folders.
+
+    The rows are computed once, into a table partitioned by fold; each folder is then a
+    copy of some of its partitions.
+    """
+    spark = train.sparkSession
+    staged = scratch_path(spark, "folds")
+    train.write.partitionBy(fold).parquet(staged)
+    rows = spark.read.schema(train.schema).parquet(staged)
     for i in range(folds):
-        train.where(F.col(fold) != i).drop(fold).write.mode("overwrite").parquet(f"{path}/train{i}")
-        train.where(F.col(fold) == i).drop(fold).write.mode("overwrite").parquet(f"{path}/val{i}")
+        rows.where(F.col(fold) != i).drop(fold).write.mode("overwrite").parquet(f"{path}/train{i}")
+        rows.where(F.col(fold) == i).drop(fold).write.mode("overwrite").parquet(f"{path}/val{i}")
     test.write.mode("overwrite").parquet(f"{path}/test")
 
 
