@@ -26,29 +26,39 @@ def value_block(value: Column) -> Column:
     return F.when(size == 0, F.lit(0)).otherwise(step * F.signum(value.cast("double")).cast("long"))
 
 
-def _group_window(keys: Sequence[str], order: str) -> tuple[Window, Window]:
-    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    return group, group.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _cut(counts: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Counts with their block, laid out by (keys, block).
+def _cut(counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
+    """Counts with their block, laid out by (group, block).
 
     Both users of the result must see the same rows and columns below this exchange,
     or Spark computes it twice; hence the explicit null test here and the use of the
-    value in ``_block_totals``.
+    value in ``_block_totals``. The keys travel as one struct, which is never null
+    itself, so that a null key joins like any other.
     """
-    cut = counts.withColumn("_block", value_block(F.col(value)))
-    return cut.where(F.col(value).isNotNull() & F.col("_block").isNotNull()).repartition(*keys, "_block")
+    group = F.struct(*keys) if keys else F.lit(0)
+    cut = counts.select(group.alias("_key"), value, *weights, value_block(F.col(value)).alias("_block"))
+    return cut.where(F.col(value).isNotNull() & F.col("_block").isNotNull()).repartition("_key", "_block")
 
 
-def _block_totals(cut: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
-    totals = cut.groupBy(*keys, "_block").agg(
+def _block_totals(cut: DataFrame, value: str, weights: Sequence[str]) -> DataFrame:
+    totals = cut.groupBy("_key", "_block").agg(
         F.max(value).alias("_top"), *[F.sum(w).alias(f"_t_{w}") for w in weights]
     )
     return totals.where("_top IS NOT NULL").drop("_top")
 
 
+_GROUP = ("_key",)  # window over the blocks of a group
+_BLOCK = ("_key", "_block")  # window inside one block
+
+
+def _before(weight: str, order: str, by: Sequence[str]) -> Column:
+    window = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(weight).over(window), F.lit(0))
+
+
+def _unpacked(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"_key.{k}").alias(k) for k in keys]
+
+
 def running_before(
     counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[str]
 ) -> DataFrame:
@@ -56,25 +66,14 @@ def running_before(
 
     ``counts`` holds one row per (keys, value).
     """
-    keys = list(keys)
-    cut = _cut(counts, keys, value)
-    totals = _block_totals(cut, keys, value, weights)
-    _, earlier = _group_window(keys, "_block")
-    totals = totals.select(
-        *keys, "_block",
-        *[F.coalesce(F.sum(f"_t_{w}").over(earlier), F.lit(0)).alias(f"_o_{w}") for w in weights],
+    carried = [c for c in counts.columns if c not in keys and c != value]
+    cut = _cut(counts, keys, value, carried)
+    totals = _block_totals(cut, value, carried).select(
+        "_key", "_block", *[_before(f"_t_{w}", "_block", _GROUP).alias(f"_o_{w}") for w in weights]
     )
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    joined = cut.join(totals, [*keys, "_block"])
-    return joined.select(
-        *counts.columns,
-        *[
-            (F.col(f"_o_{w}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(f"before_{w}")
-            for w in weights
-        ],
+    return cut.join(totals, list(_BLOCK)).select(
+        *_unpacked(keys), value, *carried,
+        *[(F.col(f"_o_{w}") + _before(w, value, _BLOCK)).alias(f"before_{w}") for w in weights],
     )
 
 
@@ -96,14 +95,10 @@ def exact_quantiles(
     ``linear`` interpolates between neighbours; ``nearest`` takes the value at
     the position rounded half to even.
     """
-    keys = list(keys)
-    counts = counts.select(*keys, value, "n")
-    cut = _cut(counts, keys, value)
-    group, earlier = _group_window(keys, "_block")
-    blocks = (
-        _block_totals(cut, keys, value, ["n"]).withColumnRenamed("_t_n", "_m")
-        .withColumn("_before", F.coalesce(F.sum("_m").over(earlier), F.lit(0)))
-        .withColumn("rows", F.sum("_m").over(group))
+    cut = _cut(counts, keys, value, ["n"])
+    blocks = _block_totals(cut, value, ["n"]).select(
+        "_key", "_block", F.col("_t_n").alias("_m"), _before("_t_n", "_block", _GROUP).alias("_before"),
+        F.sum("_t_n").over(Window.partitionBy("_key")).alias("rows"),
     )
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
@@ -116,23 +111,19 @@ def exact_quantiles(
     # Only the blocks that hold a wanted position go on: 2 * len(probs) per group.
     hits = blocks.where(
         f"exists({wanted}, t -> t >= _before AND t < _before + _m)"
-    ).select(*keys, "_block", "_before", "rows")
-    inside = (
-        Window.partitionBy(*keys, "_block").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    ranked = cut.join(hits, [*keys, "_block"]).withColumn(
-        "_first", F.col("_before") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ).select("_key", "_block", "_before", "rows")
+    ranked = cut.join(hits, list(_BLOCK)).withColumn(
+        "_first", F.col("_before") + _before("n", value, _BLOCK)
     )
     mine = f"filter(array_distinct({wanted}), t -> t >= _first AND t < _first + n)"
-    found = ranked.select(*keys, "rows", F.col(value).alias("_v"), F.explode(F.expr(mine)).alias("_at"))
+    found = ranked.select("_key", "rows", F.col(value).alias("_v"), F.explode(F.expr(mine)).alias("_at"))
     # The collected list has one entry per wanted position, whatever the group's size.
-    picked = found.groupBy(*keys).agg(
+    picked = found.groupBy("_key").agg(
         F.max("rows").alias("rows"),
         F.map_from_entries(F.collect_list(F.struct("_at", F.col("_v").cast("double")))).alias("_values"),
     )
     return picked.selectExpr(
-        *[f"`{k}`" for k in keys], "rows",
+        *[f"_key.`{k}` AS `{k}`" for k in keys], "rows",
         *[f"{_quantile_text(p, method)} AS q{i}" for i, p in enumerate(probs)],
     )
 

@@ -235,7 +235,7 @@ def fine_edges(df: DataFrame, column: str, parts: int = 25, precision: int = 4)
     """Nearest-rank quantiles, rounded, without repeats, open at both ends."""
     probs = [round(i / parts, 2) for i in range(parts)] + [1.0]
     counts = value_counts(df.select(F.col(column).cast("double").alias("value")), [])
-    row = exact_quantiles(counts.withColumn("_all", F.lit(0)), ["_all"], probs, method="nearest").first()
+    row = exact_quantiles(counts, [], probs, method="nearest").first()
     inner = sorted({round(row[f"q{i}"], precision) for i in range(len(probs))}) if row else []
     return [-math.inf, *inner, math.inf]
 
