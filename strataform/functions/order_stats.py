@@ -1,10 +1,9 @@
 """Exact ranks and quantiles that never hold one group in one task.
 
 A group may be a third of the table, so a window over the whole group is not an
-option. Rows are first folded to one row per distinct value, values are cut into
-blocks by a fixed monotone function, and only block totals are ordered per
-group. The block function depends on nothing but the value, so a recomputed task
-yields the same blocks.
+option. Values are cut into blocks by a fixed monotone function, rows are counted per
+block with map-side combine, and only block totals are ordered per group. The block
+function depends on nothing but the value, so a recomputed task yields the same blocks.
 """
 
 from __future__ import annotations
@@ -77,29 +76,31 @@ def running_before(
     )
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
-    """One row per (keys, value) with its row count ``n``; nulls and NaN are left out."""
-    kept = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    return kept.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+def long_values(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, col, value): numeric columns below each other, from one scan."""
+    return df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
+        list(keys), list(columns), "col", "value"
+    )
 
 
 def exact_quantiles(
-    counts: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
     probs: Sequence[float],
     value: str = "value",
     method: str = "linear",
+    few_groups: bool = False,
 ) -> DataFrame:
-    """Exact quantiles per group from ``value_counts``: columns ``q0, q1, ..`` and ``rows``.
+    """Exact quantiles per group: ``q0, q1, ..``, the row count and the number of blocks.
+
+    ``linear`` interpolates between neighbours; ``nearest`` takes the value at the
+    position rounded half to even. Nulls and NaN are left out.
 
-    ``linear`` interpolates between neighbours; ``nearest`` takes the value at
-    the position rounded half to even.
+    Two passes over ``rows``: the first only shuffles block totals, the second only the
+    values of blocks that hold a wanted position, 2 * len(probs) per group. With
+    ``few_groups`` (a number of groups bounded by the schema) that block list is
+    broadcast, and the second pass drops the other rows before its shuffle.
     """
-    cut = _cut(counts, keys, value, ["n"])
-    blocks = _block_totals(cut, value, ["n"]).select(
-        "_key", "_block", F.col("_t_n").alias("_m"), _before("_t_n", "_block", _GROUP).alias("_before"),
-        F.sum("_t_n").over(Window.partitionBy("_key")).alias("rows"),
-    )
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown method {method!r}")
     levels = "array(" + ", ".join(_number(p) for p in probs) + ")"
@@ -108,22 +109,32 @@ def exact_quantiles(
         return f"transform({levels}, p -> CAST({rounding}(p * (rows - 1)) AS BIGINT))"
 
     wanted = places("rint") if method == "nearest" else f"array_union({places('floor')}, {places('ceil')})"
-    # Only the blocks that hold a wanted position go on: 2 * len(probs) per group.
-    hits = blocks.where(
-        f"exists({wanted}, t -> t >= _before AND t < _before + _m)"
-    ).select("_key", "_block", "_before", "rows")
-    ranked = cut.join(hits, list(_BLOCK)).withColumn(
-        "_first", F.col("_before") + _before("n", value, _BLOCK)
+    group = F.struct(*keys) if keys else F.lit(0)
+    number = F.col(value).cast("double")
+    base = rows.where(number.isNotNull() & ~F.isnan(number)).select(
+        group.alias("_key"), number.alias("_v"), value_block(number).alias("_block")
+    )
+    whole = Window.partitionBy("_key")
+    blocks = base.groupBy("_key", "_block").agg(F.count(F.lit(1)).alias("_m")).select(
+        "_key", "_block", "_m", _before("_m", "_block", _GROUP).alias("_before"),
+        F.sum("_m").over(whole).alias("rows"), F.count("_m").over(whole).alias("blocks"),
     )
+    hits = blocks.where(f"exists({wanted}, t -> t >= _before AND t < _before + _m)").drop("_m")
+    part = base.join(F.broadcast(hits) if few_groups else hits, list(_BLOCK))
+    counts = part.groupBy("_key", "_block", "_v").agg(
+        F.count(F.lit(1)).alias("n"), F.max("_before").alias("_before"),
+        F.max("rows").alias("rows"), F.max("blocks").alias("blocks"),
+    )
+    ranked = counts.withColumn("_first", F.col("_before") + _before("n", "_v", _BLOCK))
     mine = f"filter(array_distinct({wanted}), t -> t >= _first AND t < _first + n)"
-    found = ranked.select("_key", "rows", F.col(value).alias("_v"), F.explode(F.expr(mine)).alias("_at"))
+    found = ranked.select("_key", "rows", "blocks", "_v", F.explode(F.expr(mine)).alias("_at"))
     # The collected list has one entry per wanted position, whatever the group's size.
     picked = found.groupBy("_key").agg(
-        F.max("rows").alias("rows"),
-        F.map_from_entries(F.collect_list(F.struct("_at", F.col("_v").cast("double")))).alias("_values"),
+        F.max("rows").alias("rows"), F.max("blocks").alias("blocks"),
+        F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_values"),
     )
     return picked.selectExpr(
-        *[f"_key.`{k}` AS `{k}`" for k in keys], "rows",
+        *[f"_key.`{k}` AS `{k}`" for k in keys], "rows", "blocks",
         *[f"{_quantile_text(p, method)} AS q{i}" for i, p in enumerate(probs)],
     )
 
@@ -143,11 +154,3 @@ def _quantile_text(p: float, method: str) -> str:
         return value("rint")
     lo, hi = value("floor"), value("ceil")
     return f"CASE WHEN {lo} = {hi} THEN {lo} ELSE {lo} + ({hi} - {lo}) * ({at} - floor({at})) END"
-
-
-def column_value_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """``value_counts`` of many numeric columns in one scan, keyed by ``col`` as well."""
-    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        list(keys), list(columns), "col", "value"
-    )
-    return value_counts(long, [*keys, "col"])

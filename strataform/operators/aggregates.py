@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from strataform import rules
 from strataform.functions.columns import NUMERIC, columns_of, quoted, ratio
-from strataform.functions.order_stats import column_value_counts, exact_quantiles
+from strataform.functions.order_stats import exact_quantiles, long_values
 from strataform.operators.skew import HOT_ROWS, split_hot
 
 # Aggregates whose buffer grows with the group; all others keep a fixed-size one.
@@ -50,13 +51,15 @@ class Measure:
 
 
 def aggregate(
-    df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], measures: Sequence[Measure], hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """All measures per key.
 
     Without growing measures this is one scan and one shuffle of partial sums.
     With them, ordinary groups still take that way and hot groups go through
-    value counts, whose buffers do not grow.
+    value counts, whose buffers do not grow. ``sizes``: a cheaper frame to count the
+    first key in, such as the table that ``df`` joins with something.
     """
     keys = list(keys)
     repeated = {m.name for m in measures if sum(o.name == m.name for o in measures) > 1}
@@ -65,7 +68,7 @@ def aggregate(
     growing = [m for m in measures if m.kind in GROWING]
     if not growing:
         return df.groupBy(*keys).agg(*[m.one_pass() for m in measures])
-    light, hot = split_hot(df, keys, hot_rows)
+    light, hot = split_hot(df, keys if sizes is None else keys[:1], hot_rows, sizes)
     names = [*keys, *[m.name for m in measures]]
     done = light.groupBy(*keys).agg(*[m.one_pass() for m in measures])
     return done.select(*names).union(_hot_groups(hot, keys, measures).select(*names))
@@ -95,7 +98,7 @@ def _hot_groups(hot: DataFrame, keys: list[str], measures: Sequence[Measure]) ->
     if medians:
         slots = {f"_m{i}": m for i, m in enumerate(medians)}
         inputs = hot.select(*keys, *[F.expr(m.input).cast("double").alias(s) for s, m in slots.items()])
-        found = exact_quantiles(column_value_counts(inputs, keys, list(slots)), [*keys, "col"], [0.5])
+        found = exact_quantiles(long_values(inputs, keys, list(slots)), [*keys, "col"], [0.5])
         parts.append((
             found.groupBy(*keys).agg(
                 *[F.max(F.when(F.col("col") == s, F.col("q0"))).alias(m.name) for s, m in slots.items()]
@@ -276,21 +279,26 @@ def target_means(df: DataFrame, column: str, label: str = "target") -> DataFrame
     )
 
 
-def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Pearson correlation of all numeric pairs, as rows (x, y, corr) with x before y.
+def correlation(
+    df: DataFrame, columns: Sequence[str] | None = None, pairs_per_scan: int = 1000
+) -> DataFrame:
+    """Pearson correlation of all numeric pairs, as rows (x, y, corr) with x before y,
+    each over the rows that have both values.
 
-    All pairs come from one scan with fixed-size buffers; the pairs are of columns,
-    not of rows.
+    The pairs are of columns, not of rows: fixed-size buffers, and one scan for each
+    ``pairs_per_scan`` of them, which bounds the size of a generated plan.
     """
     columns = list(columns or columns_of(df, *NUMERIC))
     pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
     if not pairs:
         raise ValueError("correlation needs two numeric columns")
-    one = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).agg(
-        *[F.corr(x, y).alias(f"_c{i}") for i, (x, y) in enumerate(pairs)]
-    )
-    rows = F.array(*[
-        F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"_c{i}").alias("corr"))
-        for i, (x, y) in enumerate(pairs)
-    ])
-    return one.select(F.inline(rows))
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    scans = []
+    for at in range(0, len(pairs), pairs_per_scan):
+        some = pairs[at:at + pairs_per_scan]
+        one = numbers.agg(*[F.corr(x, y).alias(f"_c{i}") for i, (x, y) in enumerate(some)])
+        scans.append(one.select(F.inline(F.array(*[
+            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"_c{i}").alias("corr"))
+            for i, (x, y) in enumerate(some)
+        ]))))
+    return reduce(DataFrame.union, scans)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strataform import rules
 from strataform.functions.columns import FLOATING, columns_of
-from strataform.functions.order_stats import exact_quantiles, value_counts
+from strataform.functions.order_stats import exact_quantiles, long_values
 from strataform.operators.joins import with_group_totals
 from strataform.operators.projections import promote_numeric_text
 
@@ -44,17 +44,10 @@ def _plain_floats(df: DataFrame) -> DataFrame:
     ])
 
 
-def _filled_counts(df: DataFrame, columns: Sequence[str], fill: bool) -> DataFrame:
-    """(col, value, n, known): nulls are put at the fill value or left out."""
-    long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], list(columns), "col", "_raw"
-    )
-    if not fill:
-        long = long.where("_raw IS NOT NULL")
-    filled = F.coalesce("_raw", F.lit(float(rules.FILL_VALUE))).alias("value")
-    return long.groupBy("col", filled).agg(
-        F.count(F.lit(1)).alias("n"), F.count("_raw").alias("known")
-    )
+def _values(df: DataFrame, columns: Sequence[str], fill: bool) -> DataFrame:
+    """(col, value): nulls are put at the fill value or left out."""
+    filled = F.coalesce("value", F.lit(float(rules.FILL_VALUE))) if fill else F.col("value")
+    return long_values(df, [], columns).select("col", filled.alias("value"))
 
 
 def _edges_below(value: Column, edges: Sequence[float]) -> Column:
@@ -71,15 +64,18 @@ def _double_array(values: Sequence[float]) -> Column:
     return F.expr("CAST(array(" + ", ".join(f"'{float(x)!r}'" for x in values) + ") AS ARRAY<DOUBLE>)")
 
 
-def _edges(counts: DataFrame, parts: int, sizes: DataFrame | None = None):
-    """(edges, distinct values) per column; only they reach the driver."""
+def _edges(values: DataFrame, parts: int) -> tuple[dict, dict]:
+    """(edges, number of value blocks) per column; only they reach the driver."""
     probs = [i / parts for i in range(parts + 1)]
-    found = exact_quantiles(counts, ["col"], probs)
-    if sizes is not None:
-        found = found.join(sizes, "col")
-    rows = [r.asDict() for r in found.collect()]
+    rows = exact_quantiles(values, ["col"], probs, few_groups=True).collect()
     edges = {r["col"]: tuple(sorted({r[f"q{i}"] for i in range(parts + 1)})) for r in rows}
-    return edges, {r["col"]: r.get("distinct") for r in rows}
+    return edges, {r["col"]: r["blocks"] for r in rows}
+
+
+def _distinct_sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Number of known values per column."""
+    distinct = long_values(df, [], columns).where("value IS NOT NULL").distinct()
+    return {r["col"]: r["n"] for r in distinct.groupBy("col").agg(F.count(F.lit(1)).alias("n")).collect()}
 
 
 def fit_bins(
@@ -96,13 +92,14 @@ def fit_bins(
     out = {c: Bins("text") for c in columns if c not in numbers}
     if not numbers:
         return out
-    counts = _filled_counts(df, numbers, fill)
-    sizes = counts.groupBy("col").agg(F.count_if(F.col("known") > 0).alias("distinct"))
-    found, distinct = _edges(counts, parts, sizes)
-    wide = [c for c in numbers if distinct.get(c, 0) > few]
+    found, blocks = _edges(_values(df, numbers, fill), parts)
+    # Values in different blocks differ, so only columns with few blocks need a count.
+    narrow = [c for c in numbers if blocks.get(c, 0) <= few + 1]
+    sizes = _distinct_sizes(df, narrow) if narrow else {}
+    wide = [c for c in numbers if c not in narrow or sizes.get(c, 0) > few]
     flat = [c for c in wide if len(found[c]) <= 2]
     if flat:
-        found.update(_edges(counts.where(F.col("col").isin(flat)), finer)[0])
+        found.update(_edges(_values(df, flat, fill), finer)[0])
     out.update({c: Bins("edges", found[c]) if c in wide else Bins("value") for c in numbers})
     return out
 
@@ -234,8 +231,8 @@ def tagged_report(report: DataFrame, table: str) -> DataFrame:
 def fine_edges(df: DataFrame, column: str, parts: int = 25, precision: int = 4) -> list[float]:
     """Nearest-rank quantiles, rounded, without repeats, open at both ends."""
     probs = [round(i / parts, 2) for i in range(parts)] + [1.0]
-    counts = value_counts(df.select(F.col(column).cast("double").alias("value")), [])
-    row = exact_quantiles(counts, [], probs, method="nearest").first()
+    values = df.select(F.col(column).alias("value"))
+    row = exact_quantiles(values, [], probs, method="nearest", few_groups=True).first()
     inner = sorted({round(row[f"q{i}"], precision) for i in range(len(probs))}) if row else []
     return [-math.inf, *inner, math.inf]
 
@@ -326,10 +323,7 @@ def fit_bin_encoder(
     neighbours are then merged on (column, bin) counts only.
     """
     rows = _plain_floats(df.select(*columns, label)).where(F.col(label).isin(0, 1))
-    long = rows.select(label, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [label], list(columns), "col", "value"
-    )
-    edges, _ = _edges(value_counts(long, ["col"]), parts)
+    edges, _ = _edges(_values(rows, columns, fill=False), parts)
     inner = {c: sorted(set(edges.get(c, ())[1:-1])) for c in columns}
     pairs = [
         F.when(F.col(c).isNotNull(), F.struct(

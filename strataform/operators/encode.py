@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strataform.functions.columns import quoted
-from strataform.functions.order_stats import column_value_counts, exact_quantiles
+from strataform.functions.order_stats import exact_quantiles, long_values
 from strataform.operators.aggregates import target_means
 
 # Known transformation types and the properties each one needs.
@@ -125,21 +125,16 @@ def fit_standardise(df: DataFrame, columns: Sequence[str]) -> dict:
 
 def numeric_shape(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
     """Per numeric column, over rows where it and the label are known: mean, deviation,
-    adjusted skewness and the nine decile edges. Two shuffles, whatever the width."""
-    known = df.where(F.col(label).isNotNull()).select(
-        *[F.col(c).cast("double").alias(c) for c in columns]
-    )
-    long = known.unpivot([], list(columns), "col", "value").where("value IS NOT NULL")
+    adjusted skewness and the nine decile edges; the plan does not grow with the width."""
+    long = long_values(df.where(F.col(label).isNotNull()), [], columns).where("value IS NOT NULL")
     n = F.count("value")
     moments = long.groupBy("col").agg(
         n.alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"),
         F.when(n > 2, F.skewness("value") * F.sqrt(n * (n - 1.0)) / F.nullif(n - 2, F.lit(0)))
         .alias("skew"),
     )
-    deciles = exact_quantiles(
-        column_value_counts(known, [], columns), ["col"], [i / 10 for i in range(1, 10)]
-    )
-    return moments.join(deciles.drop("rows"), "col", "left")
+    deciles = exact_quantiles(long, ["col"], [i / 10 for i in range(1, 10)], few_groups=True)
+    return moments.join(deciles.drop("rows", "blocks"), "col", "left")
 
 
 def derive_spec(

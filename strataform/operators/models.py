@@ -10,6 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from pyspark.sql import types as T
 from strataform import rules
 from strataform.functions.columns import columns_of, key_bucket
 from strataform.operators import metrics
-from strataform.operators.aggregates import class_ratio, correlation, target_means
+from strataform.operators.aggregates import class_ratio, target_means
 from strataform.operators.encode import MAX_CATEGORIES, target_encode
 from strataform.session import materialise
 
@@ -191,16 +192,19 @@ def correlated_columns(
 ) -> list[str]:
     """Columns that correlate (signed) at ``threshold`` or more with an earlier one.
 
-    Categories count by their target mean. The earlier column may itself be dropped.
+    Categories count by their target mean. The earlier column may itself be dropped; a
+    column with missing values has no correlation. One pass for any number of columns;
+    the driver gets the matrix of columns by columns.
     """
     for c in categorical:
         df = target_encode(df, c, target_means(df, c, label))
     order = [*continuous, *categorical]
     if len(order) < 2:
         return []
-    pairs = correlation(df, order).where(F.col("corr") >= threshold).collect()
-    bad = {r["y"] for r in pairs if r["corr"] == r["corr"]}
-    return [c for c in order if c in bad]
+    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in order])
+    packed = VectorAssembler(inputCols=order, outputCol="_v", handleInvalid="keep").transform(numbers)
+    matrix = Correlation.corr(packed, "_v").first()[0].toArray()
+    return [c for j, c in enumerate(order) if any(matrix[i][j] >= threshold for i in range(j))]
 
 
 def drop_correlated(df, continuous, categorical, label, threshold: float = 0.9) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform.functions.columns import NUMERIC, columns_of
-from strataform.functions.order_stats import column_value_counts, exact_quantiles
+from strataform.functions.order_stats import exact_quantiles, long_values
 
 
 def count_of_counts(df: DataFrame, key: str, column: str | None = None) -> DataFrame:
@@ -28,14 +28,12 @@ def group_size_summary(df: DataFrame, key: str) -> DataFrame:
 def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row per numeric column, quartiles exact."""
     columns = list(columns or columns_of(df, *NUMERIC))
-    counts = column_value_counts(df, [], columns)
-    moments = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
-        [], columns, "col", "value"
-    ).groupBy("col").agg(
+    values = long_values(df, [], columns)
+    moments = values.groupBy("col").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    quartiles = exact_quantiles(counts, ["col"], [0.25, 0.5, 0.75]).select(
+    quartiles = exact_quantiles(values, ["col"], [0.25, 0.5, 0.75], few_groups=True).select(
         "col", F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75")
     )
     return moments.join(quartiles, "col", "left").select(

@@ -188,17 +188,18 @@ def shrink_numbers(df: DataFrame) -> DataFrame:
     return df.select(*[cast(f) for f in df.schema.fields])
 
 
+def is_whole(column: str) -> Column:
+    """Known, finite and without a fraction."""
+    c = F.col(column)
+    return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) & (c == F.rint(c))
+
+
 def integral_floats(df: DataFrame) -> list[str]:
     """Float columns that hold whole numbers only; one null rules a column out."""
     floats = columns_of(df, *FLOATING)
     if not floats:
         return []
-    row = df.agg(*[
-        F.bool_and(
-            F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) & (F.col(c) == F.rint(c))
-        ).alias(f"_w{i}")
-        for i, c in enumerate(floats)
-    ]).first()
+    row = df.agg(*[F.bool_and(is_whole(c)).alias(f"_w{i}") for i, c in enumerate(floats)]).first()
     return [c for i, c in enumerate(floats) if row[f"_w{i}"]]
 
 

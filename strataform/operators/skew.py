@@ -13,16 +13,16 @@ HOT_ROWS = 1_000_000
 
 
 def split_hot(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(rows of ordinary groups, rows of hot groups); lazy, nothing is collected.
 
-    With no hot group the second branch is an empty relation at run time and AQE
-    removes all that follows it.
+    Groups are counted in ``sizes`` if given, else in ``df``. With no hot group the second
+    branch is an empty relation at run time and AQE removes all that follows it.
     """
     names = [f"_hot_{i}" for i in range(len(keys))]
     hot = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
+        (df if sizes is None else sizes).groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
         .select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
     )
     same = F.lit(True)

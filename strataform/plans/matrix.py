@@ -66,7 +66,7 @@ def feature_matrix(
     for name, rows in topics.items():
         if not features.get(name):
             continue
-        data = compute_features(with_decision(rows, base), features[name]).drop("target")
+        data = compute_features(with_decision(rows, base), features[name], sizes=rows).drop("target")
         frames.append(tag_clashing(data, name))
     wide = date_to_period(join_batches(wide, frames))
     return narrow_types(materialise(wide, "matrix")) if narrow else wide
@@ -74,9 +74,13 @@ def feature_matrix(
 
 def serving_matrix(
     base: DataFrame, depth0: Sequence[DataFrame], topics: Mapping[str, DataFrame],
-    features: Mapping[str, Sequence[Feature]], wanted: Sequence[str], batch_size: int = 32,
+    features: Mapping[str, Sequence[Feature]], wanted: Sequence[str],
+    batch_size: int | None = None,
 ) -> DataFrame:
-    """The same for rows without a target, cut to the model's feature list."""
+    """The same for rows without a target, cut to the model's feature list.
+
+    One scan per topic, unless ``batch_size`` asks for slices of features.
+    """
     wide = base.select(rules.KEY, "date_decision")
     for table in depth0:
         kept = [c for c in table.columns if c == rules.KEY or c in wanted]
@@ -85,7 +89,8 @@ def serving_matrix(
     for name, rows in topics.items():
         if features.get(name):
             joined = with_decision(rows, base, train=False)
-            batches = feature_batches(joined, features[name], batch_size, train=False)
+            size = batch_size or len(features[name])
+            batches = feature_batches(joined, features[name], size, train=False, sizes=rows)
             frames += [tag_clashing(b, name) for b in batches]
     wide = date_to_period(join_batches(wide, frames), serving=True)
     return project(wide, wanted, keep=(rules.KEY,))

@@ -7,9 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataform import rules
-from strataform.functions.order_stats import (
-    column_value_counts, exact_quantiles, running_before, value_block, value_counts,
-)
+from strataform.functions.order_stats import exact_quantiles, long_values, running_before, value_block
 from strataform.operators.aggregates import Measure, aggregate, suffix_aggregate
 from strataform.operators.skew import split_hot
 from strataform.operators.windows import back_fill, row_positions
@@ -106,7 +104,7 @@ def test_value_blocks_never_decrease(spark):
 
 def test_exact_quantiles_match_percentile(rows):
     probs = [0.0, 0.1, 0.25, 0.5, 0.77, 1.0]
-    counts = column_value_counts(rows, ["case_id"], ["price_A"])
+    counts = long_values(rows, ["case_id"], ["price_A"])
     got = {r["case_id"]: [r[f"q{i}"] for i in range(len(probs))] for r in
            exact_quantiles(counts, ["case_id", "col"], probs).where("case_id IS NOT NULL").collect()}
     text = ", ".join(str(p) for p in probs)
@@ -119,8 +117,7 @@ def test_exact_quantiles_match_percentile(rows):
 
 def test_nearest_quantile_rounds_half_to_even(spark):
     df = spark.createDataFrame([(float(i),) for i in (10, 20, 30, 40, 50, 60)], "value double")
-    counts = value_counts(df, []).withColumn("k", F.lit(1))
-    row = exact_quantiles(counts, ["k"], [0.1, 0.3, 0.5], method="nearest").first()
+    row = exact_quantiles(df, [], [0.1, 0.3, 0.5], method="nearest", few_groups=True).first()
     assert (row["q0"], row["q1"], row["q2"]) == (10.0, 30.0, 30.0)  # places 0.5, 1.5, 2.5
 
 
@@ -128,3 +125,9 @@ def test_running_before(spark):
     df = spark.createDataFrame([("a", 1.0, 2), ("a", 3.0, 5), ("a", -2.0, 7), ("b", 0.0, 1)], "k string, v double, n long")
     got = {(r["k"], r["v"]): r["before_n"] for r in running_before(df, ["k"], "v", ["n"]).collect()}
     assert got == {("a", -2.0): 0, ("a", 1.0): 7, ("a", 3.0): 9, ("b", 0.0): 0}
+
+
+def test_sizes_from_a_cheaper_frame(rows):
+    measures = [Measure("codes", "flag_M", "distinct"), Measure("n", "count(1)")]
+    split = aggregate(rows, ["case_id", "num_group1"], measures, hot_rows=100, sizes=rows.select("case_id"))
+    same(split, aggregate(rows, ["case_id", "num_group1"], measures))
