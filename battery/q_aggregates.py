@@ -290,8 +290,9 @@ A17_ITEMS = [
 @query("a17_contract_aggregate", oracle_view(BUREAU_A_VIEW) + stacked_sql() + "SELECT case_id, num_group1,\n  "
        + ",\n  ".join(A17_ITEMS) + "\nFROM s GROUP BY case_id, num_group1", "fx_depth2")
 def a17(spark, sf_dir):
-    rows = nested.stack_contracts(nested_view(spark, sf_dir, BUREAU_A_VIEW))
-    return v.rounded(nested.reduce_nested(rows, nested.bureau_a_measures()))
+    contracts = nested_view(spark, sf_dir, BUREAU_A_VIEW)
+    rows = nested.stack_contracts(contracts)
+    return v.rounded(nested.reduce_nested(rows, nested.bureau_a_measures(), sizes=contracts))
 
 
 # -- A20 ff ---------------------------------------------------------------------

@@ -17,6 +17,7 @@ from strataform.operators.skew import HOT_ROWS, split_hot
 
 # Aggregates whose buffer grows with the group; all others keep a fixed-size one.
 GROWING = ("median", "mode", "distinct")
+ENDS = {"last": "max_by", "first": "min_by"}
 
 
 @dataclass(frozen=True)
@@ -24,13 +25,15 @@ class Measure:
     """One output column of a grouped aggregate, as Spark SQL text.
 
     ``plain``: ``text`` is the whole aggregate. ``median``, ``mode``, ``distinct``:
-    ``text`` is the input, counted only where ``where`` holds.
+    ``text`` is the input, counted only where ``where`` holds. ``last``, ``first``:
+    ``text`` is the input, ``order`` the text of the position.
     """
 
     name: str
     text: str
     kind: str = "plain"
     where: str | None = None
+    order: str | None = None
 
     @property
     def input(self) -> str:
@@ -67,16 +70,36 @@ def aggregate(
         raise ValueError(f"repeated output names: {sorted(repeated)}")
     growing = [m for m in measures if m.kind in GROWING]
     if not growing:
-        return df.groupBy(*keys).agg(*[m.one_pass() for m in measures])
+        return _one_pass(df, keys, measures)
     light, hot = split_hot(df, keys if sizes is None else keys[:1], hot_rows, sizes)
     names = [*keys, *[m.name for m in measures]]
-    done = light.groupBy(*keys).agg(*[m.one_pass() for m in measures])
-    return done.select(*names).union(_hot_groups(hot, keys, measures).select(*names))
+    done = _one_pass(light, keys, measures)
+    return done.union(_hot_groups(hot, keys, measures).select(*names))
+
+
+def _one_pass(df: DataFrame, keys: list[str], measures: Sequence[Measure]) -> DataFrame:
+    """All measures in one grouped aggregate. Columns taken from the same end row travel
+    as one struct: one comparison per row, not one per column."""
+    ends: dict[tuple[str, str], list[Measure]] = {}
+    for m in measures:
+        if m.kind in ENDS:
+            ends.setdefault((m.kind, m.order), []).append(m)
+    aggs = [m.one_pass() for m in measures if m.kind not in ENDS]
+    place: dict[str, str] = {}
+    for i, ((kind, order), group) in enumerate(ends.items()):
+        fields = ", ".join(f"'f{j}', {m.text}" for j, m in enumerate(group))
+        aggs.append(F.expr(f"{ENDS[kind]}(named_struct({fields}), {order})").alias(f"_end{i}"))
+        place.update({m.name: f"_end{i}.f{j}" for j, m in enumerate(group)})
+    out = df.groupBy(*keys).agg(*aggs)
+    return out.selectExpr(
+        *[quoted(k) for k in keys],
+        *[f"{place.get(m.name, quoted(m.name))} AS {quoted(m.name)}" for m in measures],
+    )
 
 
 def _hot_groups(hot: DataFrame, keys: list[str], measures: Sequence[Measure]) -> DataFrame:
-    plain = [m.one_pass() for m in measures if m.kind == "plain"]
-    out = hot.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), *plain)
+    fixed = [m for m in measures if m.kind not in GROWING]
+    out = _one_pass(hot, keys, [*fixed, Measure("_rows", "count(1)")])
     parts = []
     by_text: dict[str, list[Measure]] = {}
     for m in measures:
@@ -132,8 +155,7 @@ def measure(how: str, column: str, order: Sequence[str], dtype: T.DataType) -> M
     if how in ("last", "first"):
         if position is None:
             raise ValueError(f"{how} needs order columns")
-        by = "max_by" if how == "last" else "min_by"
-        return Measure(f"{how}_{column}", f"{by}({name}, {position})")
+        return Measure(f"{how}_{column}", name, how, order=position)
     if how in ("max", "min"):
         return Measure(f"{how}_{column}", f"{how}({name})")
     if how == "sum":

@@ -141,10 +141,12 @@ def stack_contracts(depth2: DataFrame, pairs: Mapping[str, tuple[str, str]] = BU
 
 
 def reduce_nested(
-    depth2: DataFrame, measures: Sequence[Measure], hot_rows: int = HOT_ROWS
+    depth2: DataFrame, measures: Sequence[Measure], hot_rows: int = HOT_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (case, num_group1)."""
-    return aggregate(depth2, NESTED_KEYS, measures, hot_rows)
+    """One row per (case, num_group1). Hot cases are looked for in ``sizes``, for stacked
+    rows the table before stacking."""
+    return aggregate(depth2, NESTED_KEYS, measures, hot_rows, depth2 if sizes is None else sizes)
 
 
 # Topics whose nested table is folded into depth 1: measures, and whether rows are

@@ -27,7 +27,7 @@ def flatten(
     parts of a topic go through one plan, so a case that spans files counts once.
     """
     rows = depth2 if pairs is None else stack_contracts(depth2, pairs)
-    out = join_nested(depth1, reduce_nested(rows, measures, hot_rows))
+    out = join_nested(depth1, reduce_nested(rows, measures, hot_rows, depth2))
     return join_nested(out, first_child(depth2))
 
 
