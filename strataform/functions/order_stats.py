@@ -29,8 +29,8 @@ def _cut(counts: DataFrame, keys: Sequence[str], value: str, weights: Sequence[s
     """Counts with their block, laid out by (group, block).
 
     Both users of the result must see the same rows and columns below this exchange,
-    or Spark computes it twice; hence the explicit null test here and the use of the
-    value in ``_block_totals``. The keys travel as one struct, which is never null
+    or Spark computes it twice; hence the explicit null test here and the use of every
+    column in ``_block_totals`` (weights are never null, so its test drops nothing). The keys travel as one struct, which is never null
     itself, so that a null key joins like any other.
     """
     group = F.struct(*keys) if keys else F.lit(0)
@@ -42,7 +42,8 @@ def _block_totals(cut: DataFrame, value: str, weights: Sequence[str]) -> DataFra
     totals = cut.groupBy("_key", "_block").agg(
         F.max(value).alias("_top"), *[F.sum(w).alias(f"_t_{w}") for w in weights]
     )
-    return totals.where("_top IS NOT NULL").drop("_top")
+    used = " AND ".join(["_top IS NOT NULL", *[f"_t_{w} IS NOT NULL" for w in weights]])
+    return totals.where(used).drop("_top")
 
 
 _GROUP = ("_key",)  # window over the blocks of a group
@@ -63,7 +64,7 @@ def running_before(
 ) -> DataFrame:
     """Add ``before_<w>``: the sum of each weight over smaller values of the group.
 
-    ``counts`` holds one row per (keys, value).
+    ``counts`` holds one row per (keys, value); its other columns are numbers, not null.
     """
     carried = [c for c in counts.columns if c not in keys and c != value]
     cut = _cut(counts, keys, value, carried)
