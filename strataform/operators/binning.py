@@ -31,7 +31,7 @@ class Bins:
         return self.edges[1:-1]
 
 
-def _share_log_text(a: str, b: str) -> str:
+def share_log_text(a: str, b: str) -> str:
     """(a - b) * ln(a / b), 0 where either share is 0."""
     return f"CASE WHEN {a} > 0 AND {b} > 0 THEN ({a} - {b}) * ln(try_divide({a}, {b})) ELSE 0D END"
 
@@ -189,9 +189,9 @@ def fine_class_report(
     report = report.selectExpr("*", *[f"try_divide({c}, {c}_total) AS {c}_proportion" for c in base])
     report = report.selectExpr(
         "*",
-        f"{_share_log_text('dev_good_proportion', 'dev_bad_proportion')} AS dev_IV",
-        f"{_share_log_text('val_good_proportion', 'val_bad_proportion')} AS val_IV",
-        f"{_share_log_text('val_all_proportion', 'dev_all_proportion')} AS PSI",
+        f"{share_log_text('dev_good_proportion', 'dev_bad_proportion')} AS dev_IV",
+        f"{share_log_text('val_good_proportion', 'val_bad_proportion')} AS val_IV",
+        f"{share_log_text('val_all_proportion', 'dev_all_proportion')} AS PSI",
     )
     report = with_group_totals(report, "col", ["dev_IV", "val_IV", "PSI"])
     if holdout is None:
@@ -279,7 +279,7 @@ def fine_bins(
         "try_divide(event, event_total) AS event_pct",
         "try_divide(non_event, non_event_total) AS non_event_pct",
     )
-    return table.selectExpr("*", f"{_share_log_text('event_pct', 'non_event_pct')} AS iv"), edges
+    return table.selectExpr("*", f"{share_log_text('event_pct', 'non_event_pct')} AS iv"), edges
 
 
 # -- E10 ------------------------------------------------------------------------
