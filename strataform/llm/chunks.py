@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 
 #: The code points that Unicode counts as white space.
-SPACES = "\t-\r \x85\xa0  -     　"
+SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
 
 

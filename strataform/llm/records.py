@@ -36,17 +36,21 @@ def frame(payload: bytes) -> bytes:
     return b"".join((length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))))
 
 
+def payload(key: int | None, ids: bytes, width: int) -> bytes:
+    return _KEY.pack(key is not None, key or 0, width) + ids
+
+
 def unframe(file) -> Iterator[tuple[int, bytes]]:
     """``(offset, payload)`` of each record from a file's place on; damage raises."""
     at = file.tell()
     while head := file.read(_HEAD.size):
         if len(head) < _HEAD.size or masked(head[:8]) != (told := _HEAD.unpack(head))[1]:
             raise ValueError(f"damaged record length at byte {at}")
-        payload, tail = file.read(told[0]), file.read(4)
-        if len(payload) < told[0] or len(tail) < 4 or masked(payload) != struct.unpack("<I", tail)[0]:
+        body, tail = file.read(told[0]), file.read(4)
+        if len(body) < told[0] or len(tail) < 4 or masked(body) != struct.unpack("<I", tail)[0]:
             raise ValueError(f"damaged record at byte {at}")
-        yield at, payload
-        at += _HEAD.size + len(payload) + 4
+        yield at, body
+        at += _HEAD.size + len(body) + 4
 
 
 def _opened(uri: str):
@@ -115,7 +119,7 @@ def write_records(
                         now, offset, at, name = part, 0, 0, f"part-{part:06d}-{uuid.uuid4().hex}.rec"
                         file = system.open_output_stream(f"{inside}/{name}")
                     ids = zlib.decompress(ids)
-                    record = frame(_KEY.pack(value is not None, value or 0, width) + ids)
+                    record = frame(payload(value, ids, width))
                     file.write(record)
                     yield part, name, value, offset, at, len(ids) // width
                     offset, at = offset + len(record), at + len(ids) // width
@@ -130,11 +134,11 @@ def write_records(
     return stored(index.withColumn("folder", F.lit(folder)), "record-index")
 
 
-def _ids(payload: bytes) -> tuple[int | None, bytes]:
+def _ids(body: bytes) -> tuple[int | None, bytes]:
     import numpy as np
 
-    has, key, width = _KEY.unpack_from(payload)
-    return (key if has else None), np.frombuffer(payload, f"<u{width}", offset=_KEY.size).astype("<u4").tobytes()
+    has, key, width = _KEY.unpack_from(body)
+    return (key if has else None), np.frombuffer(body, f"<u{width}", offset=_KEY.size).astype("<u4").tobytes()
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -154,8 +158,8 @@ def read_records(index: DataFrame) -> DataFrame:
                 for folder, name, base in zip(*(batch.column(c).to_pylist() for c in ("folder", "file", "base"))):
                     system, inside = _opened(folder)
                     with system.open_input_stream(f"{inside}/{name}", buffer_size=1 << 20) as file:
-                        for _, payload in unframe(file):
-                            key, ids = _ids(payload)
+                        for _, body in unframe(file):
+                            key, ids = _ids(body)
                             yield key, base, len(ids) // 4, ids
                             base += len(ids) // 4
 
