@@ -40,9 +40,8 @@ def payload(key: int | None, ids: bytes, width: int) -> bytes:
     return _KEY.pack(key is not None, key or 0, width) + ids
 
 
-def unframe(file) -> Iterator[tuple[int, bytes]]:
-    """``(offset, payload)`` of each record from a file's place on; damage raises."""
-    at = file.tell()
+def unframe(file, at: int = 0) -> Iterator[tuple[int, bytes]]:
+    """``(offset, payload)`` of each record from a file's present place ``at`` on; damage raises."""
     while head := file.read(_HEAD.size):
         if len(head) < _HEAD.size or masked(head[:8]) != (told := _HEAD.unpack(head))[1]:
             raise ValueError(f"damaged record length at byte {at}")
@@ -87,14 +86,17 @@ def write_records(
     def coded(batches):
         import bisect
 
+        import zstandard
+
         encoder, end, turn = library_encoder(path, width), end_id.to_bytes(width, "little"), 0
+        shrink = zstandard.ZstdCompressor(level=1).compress
 
         def one(batch):
             nonlocal turn
             for value, content in zip(batch.column("key").to_pylist(), batch.column("text")):
                 low, high = (0, 0) if value is None else (bisect.bisect_left(cuts, value), bisect.bisect_right(cuts, value))
                 part, turn = low + turn % (high - low + 1), turn + 1
-                yield part, value, zlib.compress(encoder.encode(content.as_py() or "") + end, 1)
+                yield part, value, shrink(encoder.encode(content.as_py() or "") + end)
 
         for batch in batches:
             yield from batched(one(batch), pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ids", pa.binary())]))
@@ -106,6 +108,9 @@ def write_records(
     def written(batches):
         import uuid
 
+        import zstandard
+
+        restore = zstandard.ZstdDecompressor().decompress
         system, inside = _opened(folder)
         file, now, offset, at, name = None, None, 0, 0, ""
 
@@ -118,7 +123,7 @@ def write_records(
                             file.close()
                         now, offset, at, name = part, 0, 0, f"part-{part:06d}-{uuid.uuid4().hex}.rec"
                         file = system.open_output_stream(f"{inside}/{name}")
-                    ids = zlib.decompress(ids)
+                    ids = restore(ids)
                     record = frame(payload(value, ids, width))
                     file.write(record)
                     yield part, name, value, offset, at, len(ids) // width
@@ -185,7 +190,7 @@ def read_shuffled(index: DataFrame, seed: int) -> DataFrame:
                     system, inside = _opened(folder)
                     with system.open_input_file(f"{inside}/{name}") as file:
                         file.seek(offset)
-                        key, ids = _ids(next(unframe(file))[1])
+                        key, ids = _ids(next(unframe(file, offset))[1])
                         yield turn, key, ids
 
         yield from batched(lines(), pa.schema([("turn", pa.int64()), ("key", pa.int64()), ("ids", pa.binary())]))
