@@ -67,6 +67,19 @@ def op1_url_filter(spark, sf_dir):
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query("op2_quality_rules")
+def op2_quality_rules(spark, sf_dir):
+    from strataform.llm.common import stored
+    from strataform.llm.quality import fit_quality, judge_quality, text_statistics
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    statistics = stored(text_statistics(docs).select("doc_id", "stats"), "statistics")
+    rules = fit_quality(statistics, table(spark, sf_dir, "labels"))
+    return judge_quality(statistics, rules).select(
+        "doc_id", "stats.n_words", "stats.word_chars", "stats.n_symbols", "stats.n_dup_lines", "stats.n_repeat_words",
+        "base_failed", "kept", "rule")
+
+
 @query("op3_rendezvous_shards")
 def op3_rendezvous_shards(spark, sf_dir):
     from strataform.llm.sharding import assign_shards
@@ -80,6 +93,22 @@ def op3_rendezvous_shards(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op4_toxicity")
+def op4_toxicity(spark, sf_dir):
+    from strataform.llm.toxicity import folds, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", (folds("doc_id") == 1).alias("held_out"), "score", "predicted")
+
+
+@query("op5_exact_top_k")
+def op5_exact_top_k(spark, sf_dir):
+    from strataform.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", k=5, every=50)
+
+
 @query("op6_bpe_encode_decode")
 def op6_bpe_encode_decode(spark, sf_dir):
     from strataform.llm.bpe import encode_texts
@@ -109,6 +138,16 @@ def op8_genetic_packing(spark, sf_dir):
         pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "length", room=4096)
 
 
+@query("op9_simhash_components")
+def op9_simhash_components(spark, sf_dir):
+    from strataform.llm.simhash import WHOLE, fingerprints, near_duplicates
+
+    prints = fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, words=1)
+    linked = near_duplicates(prints, "doc_id", words=1, segments=WHOLE, most=2)
+    return linked.select(
+        "doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
+
+
 @query("op10_token_records")
 def op10_token_records(spark, sf_dir):
     from strataform.llm.records import read_records, write_records
