@@ -155,7 +155,9 @@ def top_k(
                 width = np.full(n, -(-(high - low) // bins), object) if first else np.array(get["width"], object)
                 begin, width = begin.astype(np.int64)[:, None], np.maximum(width.astype(np.int64), 1)[:, None]
                 step = (scores - begin) // width
-                inside = other & (step >= 0) & (step < bins) & (scores >= begin)
+                inside = other & (scores >= begin) & (step < bins)
+                if not first:  # not what stands above the range: it has been counted off
+                    inside &= scores - begin < np.array(get["span"], np.int64)[:, None]
                 flat = (np.arange(n)[:, None] * bins + np.where(inside, step, 0))[inside]
                 got = np.bincount(flat, minlength=n * bins).reshape(n, bins)
                 old = sums.get(get["q_block"])
@@ -178,22 +180,20 @@ def top_k(
             before = ranges.select("q_block", F.posexplode(F.arrays_zip("low", "width", "want")).alias("place", "r")).select(
                 "q_block", "place", "r.low", "r.width", "r.want")
         chosen = (
-            before.join(found, ["q_block", "place"], "left")
-            .where("bin IS NULL OR (to_here >= want AND to_here - n < want) OR bin IS NOT NULL")
-            .groupBy("q_block", "place", "low", "width", "want").agg(
+            before.join(found, ["q_block", "place"], "left").groupBy("q_block", "place", "low", "width", "want").agg(
                 F.max(F.when(F.col("to_here") >= F.col("want"), F.struct("bin", "to_here", "n"))).alias("hit"))
         )
         # fewer than k candidates in all: everything from the least score on is wanted
         narrowed = chosen.select(
             "q_block", "place",
             F.when(F.col("hit").isNull(), F.col("low")).otherwise(F.col("low") + F.col("hit.bin") * F.col("width")).alias("low"),
-            F.when(F.col("hit").isNull(), F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(F.col("width") / bins))).cast("long").alias("width"),
+            F.greatest(F.lit(1), F.ceil(F.col("width") / bins)).cast("long").alias("width"), F.col("width").alias("span"),
             F.when(F.col("hit").isNull(), F.col("want")).otherwise(
                 F.col("want") - (F.col("hit.to_here") - F.col("hit.n"))).alias("want"),
         )
         ranges = stored(narrowed.groupBy("q_block").agg(
-            F.sort_array(F.collect_list(F.struct("place", "low", "width", "want"))).alias("r")).select(
-            "q_block", F.col("r.low").alias("low"), F.col("r.width").alias("width"), F.col("r.want").alias("want")), "ranges")
+            F.sort_array(F.collect_list(F.struct("place", "low", "width", "span", "want"))).alias("r")).select(
+            "q_block", *[F.col(f"r.{c}").alias(c) for c in ("low", "width", "span", "want")]), "ranges")
 
     def kept(batches):
         import numpy as np
