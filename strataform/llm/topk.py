@@ -100,7 +100,8 @@ def top_k(
     many components. Score: inner product of ``floor(scale * component)``.
 
     1. Rows become blocks; every query block meets every candidate block (a stated query set in
-       blocks). Query blocks are broadcast while their bytes are below a checked bound.
+       blocks). Query blocks are broadcast while their bytes are below a checked bound; beyond it only
+       their names are, and both sides are shuffled by query block, where AQE splits what is large.
     2. Histogram rounds: each task counts its scores by query and bin of the query's present range;
        counts are summed over tasks; the bin that holds the k-th greatest score becomes the next
        range. A range of integers ends after ``log_bins(range)`` rounds, at one value: the k-th score.
@@ -133,7 +134,8 @@ def top_k(
         asks = queries if ranges is None else queries.join(ranges, "q_block")
         if small:
             return blocks.join(F.broadcast(asks), "dims")
-        return blocks.repartition("block").join(asks, "dims")
+        names = F.broadcast(queries.select("q_block", "dims"))  # some 40 bytes for each query_rows queries
+        return blocks.join(names, "dims").join(asks.drop("dims"), "q_block")
 
     schema = "q_block string, place int, bin int, n long"
     ranges = None
