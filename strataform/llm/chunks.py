@@ -41,7 +41,7 @@ class TextEncoder:
 
     def __init__(
         self, encode_chunk: Callable[[str], object], join: Callable[[Iterable], object],
-        specials: tuple[str, ...] = (), encode_special: Callable[[str], object] | None = None, most: int = 600_000,
+        specials: tuple[str, ...] = (), encode_special: Callable[[str], object] | None = None, most: int = 400_000,
     ):
         self._chunk, self._join = encode_chunk, join
         self._first = PieceCache(encode_chunk, "", 50_000)

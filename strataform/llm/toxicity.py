@@ -62,11 +62,18 @@ def labelled(df: DataFrame, labels: DataFrame, key: str, text: str, most: int) -
         F.broadcast(marks), F.col("_key") == F.col("_of")).select("fold", "toxic", "text")
 
 
-def _followed(batches):
-    """``word, before, toxic``: the words of the texts and a hash of the word before each, without repeats."""
+def _followed(batches, most: int = 250_000):
+    """``word, before, toxic``: the words of the texts and a hash of the word before each, with few repeats."""
     import xxhash
 
     digest = xxhash.xxh64_intdigest
+
+    def batch_of(seen):
+        word, before, toxic = zip(*seen) if seen else ((), (), ())
+        return pa.record_batch({
+            "word": pa.array(word, pa.string()), "before": pa.array(before, pa.int64()),
+            "toxic": pa.array(toxic, pa.int32())})
+
     for batch in batches:
         seen = set()
         cores: dict[str, tuple[str, int]] = {}
@@ -80,12 +87,11 @@ def _followed(batches):
                 if core[0]:
                     seen.add((core[0], before, toxic))
                     before = core[1]
-        word, before, toxic = zip(*seen) if seen else ((), (), ())
-        for at in range(0, len(word), 50_000):
-            end = at + 50_000
-            yield pa.record_batch({
-                "word": pa.array(word[at:end], pa.string()), "before": pa.array(before[at:end], pa.int64()),
-                "toxic": pa.array(toxic[at:end], pa.int32())})
+            if len(seen) >= most or len(cores) >= most:
+                yield batch_of(seen)
+                seen.clear()
+                cores.clear()
+        yield batch_of(seen)
 
 
 @dataclass(frozen=True)
@@ -147,7 +153,7 @@ def _found(keys, values, wanted):
 
 def _counted(train: DataFrame) -> DataFrame:
     """``gram, t, o``: letter strings of ORDER letters, with their counts by class."""
-    words = train.mapInArrow(_followed, "word string, before long, toxic int").distinct().groupBy("word").agg(
+    words = train.mapInArrow(lambda batches: _followed(batches), "word string, before long, toxic int").distinct().groupBy("word").agg(
         F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("o"))
     padded = F.concat(F.lit(BEGIN * (ORDER - 1)), "word", F.lit(END))
     return words.select("t", "o", F.explode(F.transform(
@@ -223,7 +229,7 @@ def fit_model(train: DataFrame) -> Model:
 
 
 class _Ratios(dict):
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 300_000):
         super().__init__()
         self.model, self.most = model, most
 
@@ -235,28 +241,33 @@ class _Ratios(dict):
         self.update(zip(new, self.model.ratios([_core(p) for p in new]).tolist()))
 
 
-def _measured(texts: list[str | None], ratios: _Ratios):
-    """Per text: the greatest length-normalised log ratio of a passage, and that of the whole text."""
+def _measured(texts, ratios: _Ratios, most_letters: int = 2_000_000):
+    """Per text: the greatest length-normalised log ratio of a passage, and that of the whole text.
+
+    Texts are split and looked up some at a time, by their letters, to bound memory.
+    """
     import numpy as np
 
-    split = [_words(t) for t in texts]
     best, whole = np.zeros(len(texts)), np.zeros(len(texts))
-    begin = 0
-    while begin < len(split):  # so many words at a time as the cache can hold
-        end, pieces = begin, set()
-        while end < len(split) and (end == begin or len(pieces) < ratios.most // 2):
-            pieces.update(split[end])
-            end += 1
-        ratios.learn(pieces)
-        for n in range(begin, end):
-            words = split[n]
-            if not words:
-                continue
+
+    def settle(held):
+        ratios.learn({w for _, words in held for w in words})
+        for n, words in held:
             sums = np.concatenate([[0.0], np.cumsum(np.fromiter(map(ratios.__getitem__, words), float, len(words)))])
             span = min(PASSAGE, len(words))
             best[n] = (sums[span:] - sums[:-span]).max() / PASSAGE
             whole[n] = sums[-1] / len(words)
-        begin = end
+
+    held, letters = [], 0
+    for n, text in enumerate(texts):
+        words = _words(text.as_py())
+        if words:
+            held.append((n, words))
+            letters += sum(map(len, words))
+        if letters >= most_letters:
+            settle(held)
+            held, letters = [], 0
+    settle(held)
     return best, whole
 
 
@@ -269,7 +280,7 @@ def measure(df: DataFrame, text: str, model) -> DataFrame:
     def run(batches):
         ratios = _kept_ratios(number, model)
         for batch in batches:
-            best, whole = _measured(batch.column(text).to_pylist(), ratios)
+            best, whole = _measured(batch.column(text), ratios)
             yield pa.record_batch(
                 [*[batch.column(n) for n in names], pa.array(best), pa.array(whole)], names=[*names, "passage", "whole"])
 
