@@ -167,7 +167,7 @@ def top_k(
             for block, got in sums.items():
                 place, bin_ = np.nonzero(got)
                 yield pa.record_batch({
-                    "q_block": pa.array([block] * len(place)), "place": pa.array(place.astype(np.int32)),
+                    "q_block": pa.array([block] * len(place), pa.string()), "place": pa.array(place.astype(np.int32)),
                     "bin": pa.array(bin_.astype(np.int32)), "n": pa.array(got[place, bin_])})
 
         counted = met(ranges).mapInArrow(histogram, schema).groupBy("q_block", "place", "bin").agg(F.sum("n").alias("n"))
