@@ -29,7 +29,38 @@ def library_encoder(path: str, width: int = 4) -> TextEncoder:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
     specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    return TextEncoder(ids, b"".join, specials, ids)
+    parts = _PartCache(ids)
+    return TextEncoder(parts.chunk, b"".join, specials, ids, most=700_000)
+
+
+class _PartCache(dict):
+    """Encoded letter runs. A new chunk of runs, each with common marks behind it, and single line
+    ends is put together from them: the tokenizers cut there in any case."""
+
+    def __init__(self, ids, most: int = 400_000):
+        super().__init__()
+        self._ids, self._most = ids, most
+
+    def __missing__(self, part: str) -> bytes:
+        value = self._ids(part)
+        if len(self) >= self._most:
+            self.clear()
+        if len(part) <= 64:
+            self[part] = value
+        return value
+
+    def chunk(self, text: str) -> bytes:
+        lead, found = (" ", []) if text[:1] == " " else ("", [])
+        for n, line in enumerate(text[len(lead):].split("\n")):
+            core = line.rstrip(".,;:!?")
+            if not core.isalpha():
+                return self._ids(text)
+            if n:
+                found.append("\n")
+            found.append(core if n else lead + core)
+            if len(core) < len(line):
+                found.append(line[len(core):])
+        return b"".join(map(self.__getitem__, found))
 
 
 def token_pieces(df: DataFrame, key: str, text: str, path: str, end_id: int, most: int) -> DataFrame:
