@@ -122,7 +122,7 @@ def _counter(path: str) -> TextEncoder:
     words = _WordCache(lambda w: pairs.merge(w, symbols_only=True))
     return TextEncoder(
         lambda chunk: sum(map(words.__getitem__, WORDS(chunk))), sum, tuple(pairs.specials), lambda s: 1,
-        most=1_000_000,
+        most=500_000,
     )
 
 

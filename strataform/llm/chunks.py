@@ -17,19 +17,22 @@ _CHUNKS = re.compile(f"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+").findall
 
 
 class PieceCache(dict):
-    """Piece to its encoded form, filled on demand and emptied at ``most`` entries.
+    """Piece to its encoded form, filled on demand, in two generations of ``most`` entries.
 
     What is dropped is computed again: the bound changes time, never a result. A piece after
-    which a text may not be cut (empty, or ending in white space) is held as None.
+    which a text may not be cut (empty, or ending in white space) has None.
     """
 
     def __init__(self, encode: Callable[[str], object], lead: str, most: int):
         super().__init__()
-        self._encode, self._lead, self._most = encode, lead, most
+        self._encode, self._lead, self._most, self._older = encode, lead, most, {}
 
     def __missing__(self, piece: str):
-        value = None if not piece or piece[-1].isspace() else self._encode(self._lead + piece)
-        if len(self) >= self._most:
+        value = self._older.get(piece)
+        if value is None and piece and not piece[-1].isspace():
+            value = self._encode(self._lead + piece)
+        if len(self) >= self._most:  # what was not asked for since the last turn goes
+            self._older = dict(self)
             self.clear()
         if len(piece) <= 128:
             self[piece] = value
@@ -41,14 +44,21 @@ class TextEncoder:
 
     def __init__(
         self, encode_chunk: Callable[[str], object], join: Callable[[Iterable], object],
-        specials: tuple[str, ...] = (), encode_special: Callable[[str], object] | None = None, most: int = 400_000,
+        specials: tuple[str, ...] = (), encode_special: Callable[[str], object] | None = None, most: int = 300_000,
+        learn: Callable[[Iterable[str]], None] | None = None,
     ):
         self._chunk, self._join = encode_chunk, join
         self._first = PieceCache(encode_chunk, "", 50_000)
         self._rest = PieceCache(encode_chunk, " ", most)
-        self._specials, self._special = specials, encode_special
+        self._specials, self._special, self._learn = specials, encode_special, learn
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")").split
 
+    def learn(self, texts: Iterable[str]) -> None:
+        """Prepares for some texts: pieces that no cache holds are learnt together."""
+        if self._learn:
+            pieces = {p for t in texts for p in t.split(" ")}
+            self._learn(p for p in pieces if p not in self._rest and p not in self._rest._older)
+
     def encode(self, text: str):
         if self._specials and any(s in text for s in self._specials):
             parts = self._cut(text)  # ordinary text and special strings in turn

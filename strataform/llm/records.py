@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from strataform.llm.chunks import batched
 from strataform.llm.common import scratch_path, stored
-from strataform.llm.packing import library_encoder
+from strataform.llm.packing import encoded, library_encoder
 
 #: Fixed value: what masking adds.
 MASK = 0xA282EAD8
@@ -93,10 +93,10 @@ def write_records(
 
         def one(batch):
             nonlocal turn
-            for value, content in zip(batch.column("key").to_pylist(), batch.column("text")):
+            for value, ids in zip(batch.column("key").to_pylist(), encoded(encoder, batch.column("text"))):
                 low, high = (0, 0) if value is None else (bisect.bisect_left(cuts, value), bisect.bisect_right(cuts, value))
                 part, turn = low + turn % (high - low + 1), turn + 1
-                yield part, value, shrink(encoder.encode(content.as_py() or "") + end)
+                yield part, value, shrink(ids + end)
 
         for batch in batches:
             yield from batched(one(batch), pa.schema([("part", pa.int32()), ("key", pa.int64()), ("ids", pa.binary())]))
