@@ -115,7 +115,7 @@ def bin_of(column: str, bins: Bins, prefix: int = 7) -> tuple[Column, Column]:
     filled = F.coalesce(value.cast("double"), F.lit(float(rules.FILL_VALUE)))
     index = _edges_below(filled, bins.inner)
     labels = F.array(*[
-        F.lit(f"({lo}, {hi}]") for lo, hi in zip(bins.edges[:-1], bins.edges[1:])
+        F.lit(f"{'(' if n else '['}{lo}, {hi}]") for n, (lo, hi) in enumerate(zip(bins.edges[:-1], bins.edges[1:]))
     ] or [F.lit(f"[{bins.edges[0]}]")])
     return index.cast("double"), F.get(labels, index)
 

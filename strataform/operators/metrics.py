@@ -15,6 +15,11 @@ FALLING_RATE_WEIGHT = 88.0
 RESIDUAL_WEIGHT = -0.5
 
 
+def _judged(df: DataFrame, label: str, score: str) -> DataFrame:
+    number = F.col(score).cast("double")
+    return df.where(F.col(label).isNotNull() & number.isNotNull() & ~F.isnan(number))
+
+
 def auc(
     df: DataFrame, by: Sequence[str] = (), label: str = "target", score: str = "score"
 ) -> DataFrame:
@@ -22,10 +27,11 @@ def auc(
 
     A positive beats every negative with a smaller score, so the area is a sum over
     distinct scores of positives * (negatives below + half the negatives beside).
+    Rows without a label or a score do not count; NaN is no score.
     """
     by = list(by)
     is_one = (F.col(label) == 1).cast("long")
-    counts = df.where(F.col(label).isNotNull() & F.col(score).isNotNull()).groupBy(
+    counts = _judged(df, label, score).groupBy(
         *by, F.col(score).cast("double").alias("_score")
     ).agg(F.sum(is_one).alias("_pos"), F.sum(1 - is_one).alias("_neg"))
     ranked = running_before(counts, by, "_score", ["_neg"])
@@ -39,7 +45,8 @@ def log_loss(
     df: DataFrame, by: Sequence[str] = (), label: str = "target", score: str = "score",
     edge: float = 2.220446049250313e-16,
 ) -> DataFrame:
-    """V2: mean negative log likelihood, scores clipped away from 0 and 1."""
+    """V2: mean negative log likelihood, scores clipped away from 0 and 1; rows count as in ``auc``."""
+    df = _judged(df, label, score)
     p = F.least(F.greatest(F.col(score).cast("double"), F.lit(edge)), F.lit(1 - edge))
     loss = F.when(F.col(label) == 1, -F.log(p)).otherwise(-F.log1p(-p))
     return df.groupBy(*by).agg(F.avg(loss).alias("log_loss"))

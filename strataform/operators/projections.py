@@ -148,10 +148,18 @@ def narrow_types(df: DataFrame, keys: Sequence[str] = ("case_id", "num_group1",
     """The narrowest type that holds each column's least and greatest value.
 
     Integers shrink to 8..64 bits, keys to 32. Anything else becomes a 32-bit
-    float when both extremes read as numbers, so numeric text and booleans do,
-    and text if not, so dates do. A key beyond 32 bits stays as it is.
+    float (64-bit where a value is out of its range) when every value reads as a number,
+    so numeric text and booleans do, and text if not, so dates do. A key beyond 32 bits
+    stays as it is.
     """
     found = _extremes(df)
+    texts = columns_of(df, T.StringType)
+    reads = df.agg(*[
+        f(F.expr(f"try_cast({quoted(c)} AS DOUBLE)")).alias(f"_{p}{i}") for i, c in enumerate(texts)
+        for p, f in (("n", F.count), ("a", F.min), ("z", F.max))
+    ], *[F.count(quoted(c)).alias(f"_k{i}") for i, c in enumerate(texts)]).first() if texts else {}
+    as_numbers = {
+        c: (reads[f"_a{i}"], reads[f"_z{i}"]) for i, c in enumerate(texts) if reads[f"_n{i}"] == reads[f"_k{i}"]}
 
     def cast(field: T.StructField) -> Column:
         name = field.name
@@ -164,7 +172,11 @@ def narrow_types(df: DataFrame, keys: Sequence[str] = ("case_id", "num_group1",
         elif isinstance(field.dataType, INTEGRAL):
             kind = _integer_type(low, high)
         else:
-            kind = "float" if _is_number(low) and _is_number(high) else "string"
+            if isinstance(field.dataType, T.StringType):
+                low, high = as_numbers.get(name, ("", ""))
+                low, high = (0 if v is None else v for v in (low, high))
+            wide = _is_number(low) and _is_number(high) and max(abs(float(low)), abs(float(high))) > FLOAT_MAX
+            kind = ("double" if wide else "float") if _is_number(low) and _is_number(high) else "string"
         return F.col(quoted(name)).try_cast(kind).alias(name)
 
     return df.select(*[cast(f) for f in df.schema.fields])

@@ -32,7 +32,7 @@ def fold_map(df: DataFrame, folds: int, group: str = "WEEK_NUM") -> dict:
         raise ValueError(f"{group} has more than {MAX_GROUPS} groups")
     load = [0] * folds
     out = {}
-    for row in sorted(sizes, key=lambda r: (-r["n"], r[group])):
+    for row in sorted(sizes, key=lambda r: (-r["n"], r[group] is not None, r[group] if r[group] is not None else 0)):
         fold = min(range(folds), key=lambda f: (load[f], f))
         out[row[group]] = fold
         load[fold] += row["n"]

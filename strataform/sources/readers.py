@@ -27,7 +27,7 @@ def read_file(spark: SparkSession, path: str, fmt: str = "parquet", schema=None)
     raise ValueError(f"format must be 'parquet' or 'csv', not {fmt!r}")
 
 
-def read_first_files(spark: SparkSession, paths: Sequence[str], most: int = 1000) -> DataFrame:
+def read_first_files(spark: SparkSession, paths: Sequence[str], most: int) -> DataFrame:
     """The first files of a list, as asked for by the caller."""
     if not paths:
         raise FileNotFoundError("no files given")
