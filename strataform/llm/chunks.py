@@ -31,12 +31,33 @@ class PieceCache(dict):
         value = self._older.get(piece)
         if value is None and piece and not piece[-1].isspace():
             value = self._encode(self._lead + piece)
+        self._keep(piece, value)
+        return value
+
+    def _keep(self, piece: str, value) -> None:
         if len(self) >= self._most:  # what was not asked for since the last turn goes
             self._older = dict(self)
             self.clear()
         if len(piece) <= 128:
             self[piece] = value
-        return value
+
+    def values(self, pieces: list[str], encode_many: Callable[[list[str]], Iterable], at_once: int = 10_000) -> list:
+        """The values of different pieces; what is new is encoded by few calls."""
+        found = list(map(self.get, pieces))
+        new = []
+        for n, piece in enumerate(pieces):
+            if found[n] is None and piece and not piece[-1].isspace():
+                found[n] = self._older.get(piece)
+                if found[n] is None:
+                    new.append(n)
+                else:
+                    self._keep(piece, found[n])
+        for at in range(0, len(new), at_once):
+            some = new[at:at + at_once]
+            for n, value in zip(some, encode_many([self._lead + pieces[n] for n in some])):
+                found[n] = value
+                self._keep(pieces[n], value)
+        return found
 
 
 class TextEncoder:
@@ -45,19 +66,42 @@ class TextEncoder:
     def __init__(
         self, encode_chunk: Callable[[str], object], join: Callable[[Iterable], object],
         specials: tuple[str, ...] = (), encode_special: Callable[[str], object] | None = None, most: int = 300_000,
-        learn: Callable[[Iterable[str]], None] | None = None,
+        encode_many: Callable[[list[str]], Iterable] | None = None,
     ):
         self._chunk, self._join = encode_chunk, join
         self._first = PieceCache(encode_chunk, "", 50_000)
         self._rest = PieceCache(encode_chunk, " ", most)
-        self._specials, self._special, self._learn = specials, encode_special, learn
+        self._specials, self._special, self._many = specials, encode_special, encode_many
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(specials, key=len, reverse=True))) + ")").split
 
-    def learn(self, texts: Iterable[str]) -> None:
-        """Prepares for some texts: pieces that no cache holds are learnt together."""
-        if self._learn:
-            pieces = {p for t in texts for p in t.split(" ")}
-            self._learn(p for p in pieces if p not in self._rest and p not in self._rest._older)
+    def encode_block(self, texts: pa.Array, width: int) -> Iterator[bytes]:
+        """The ids (of ``width`` bytes) of each text, null as empty; each different piece is looked up once."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        special = np.zeros(len(texts), bool)
+        for s in self._specials:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        split = pc.split_pattern(texts, " ")
+        coded = split.flatten().dictionary_encode()
+        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        values = self._rest.values(pieces, self._many)
+        sizes = np.array([len(v) // width if v is not None else 0 for v in values], np.int64)
+        open_end = np.array([v is None for v in values], bool)  # a text may not be cut behind such a piece
+        data = np.frombuffer(b"".join(v for v in values if v is not None), f"<u{width}")
+        lengths = sizes[at]
+        ends = np.r_[0, lengths.cumsum()]
+        place = np.repeat((sizes.cumsum() - sizes)[at] - ends[:-1], lengths)
+        place += np.arange(len(place))
+        ids = data[place].tobytes()
+        bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
+        low, high = bounds[:-1], bounds[1:]
+        seen = np.r_[0, open_end[at].cumsum()]
+        slow = special | (seen[high] > seen[low])
+        begin, end = ends[low + 1] * width, ends[high] * width
+        for n, (first, b, e) in enumerate(zip(at[low].tolist(), begin.tolist(), end.tolist())):
+            yield self.encode(texts[n].as_py()) if slow[n] else self._first[pieces[first]] + ids[b:e]
 
     def encode(self, text: str):
         if self._specials and any(s in text for s in self._specials):

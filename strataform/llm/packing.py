@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import bisect
 import random
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,90 +29,28 @@ def library_encoder(path: str, width: int = 4) -> TextEncoder:
     def ids(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
+    def many(words: list[str]) -> list[bytes]:
+        """Ids of words that are encoded each for itself, by one call."""
+        found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, kind).tobytes()
+        ends = (np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)).cumsum() * width).tolist()
+        return [ids[b:e] for b, e in zip([0, *ends], ends)]
+
     specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    vocabulary = tokenizer.get_vocab()
-    closes = any(token.endswith("</w>") for token in vocabulary)  # else a word's first token holds its space
-    marks = np.zeros(max(vocabulary.values()) + 1, bool)
-    marks[[i for token, i in vocabulary.items() if (token.endswith("</w>") if closes else token[0] == "\u0120")]] = True
-
-    def many(words: list[str]) -> list[bytes] | None:
-        """Ids of words of letters, each with a space before it, by one call; None if the borders do not show."""
-        found = np.array(tokenizer.encode("".join(words), add_special_tokens=False).ids, kind)
-        at = np.flatnonzero(marks[found]) + closes
-        if len(at) != len(words):
-            return None
-        borders = [0, *at.tolist()] if closes else [*at.tolist(), len(found)]
-        return [found[b:e].tobytes() for b, e in zip(borders, borders[1:])]
-
-    parts = _PartCache(ids, many)
-    return TextEncoder(parts.chunk, b"".join, specials, ids, most=350_000, learn=parts.learn)
-
-
-def encoded(encoder: TextEncoder, texts: Iterable, letters: int = 1_000_000) -> Iterator[bytes]:
-    """The ids of each text; what is new in some texts is learnt by few calls."""
-    held, size = [], 0
-    for text in texts:
-        text = text.as_py() or ""
-        held.append(text)
-        size += len(text)
-        if size >= letters:
-            encoder.learn(held)
-            yield from map(encoder.encode, held)
-            held, size = [], 0
-    encoder.learn(held)
-    yield from map(encoder.encode, held)
-
-
-class _PartCache(dict):
-    """Encoded letter runs. A new chunk of runs, each with common marks behind it, and single line
-    ends is put together from them: the tokenizers cut there in any case."""
-
-    def __init__(self, ids, many, most: int = 350_000):
-        super().__init__()
-        self._ids, self._many, self._most, self._older = ids, many, most, {}
-
-    def learn(self, pieces: Iterable[str]) -> None:
-        """Takes up the letter runs at the head of some pieces, each after a space."""
-        words = set()
-        for piece in pieces:
-            core = piece.split("\n", 1)[0].rstrip(".,;:!?")
-            if core.isalpha() and len(core) <= 64 and core.lower().isalpha():
-                words.add(" " + core)
-        new = []
-        for word in words:
-            if word not in self:
-                old = self._older.get(word)
-                if old is None:
-                    new.append(word)
-                else:
-                    self[word] = old
-        for at in range(0, len(new), 5_000):
-            some = new[at:at + 5_000]
-            self.update(zip(some, self._many(some) or map(self._ids, some)))
-
-    def __missing__(self, part: str) -> bytes:
-        value = self._older.get(part)
-        if value is None:
-            value = self._ids(part)
-        if len(self) >= self._most:  # what was not asked for since the last turn goes
-            self._older = dict(self)
-            self.clear()
-        if len(part) <= 64:
-            self[part] = value
-        return value
-
-    def chunk(self, text: str) -> bytes:
-        lead, found = (" ", []) if text[:1] == " " else ("", [])
-        for n, line in enumerate(text[len(lead):].split("\n")):
-            core = line.rstrip(".,;:!?")
-            if not core.isalpha() or not core.lower().isalpha():  # lower case may bring a mark
-                return self._ids(text)
-            if n:
-                found.append("\n")
-            found.append(core if n else lead + core)
-            if len(core) < len(line):
-                found.append(line[len(core):])
-        return b"".join(map(self.__getitem__, found))
+    return TextEncoder(ids, b"".join, specials, ids, most=500_000, encode_many=many)
+
+
+def encoded(encoder: TextEncoder, texts: pa.Array, width: int = 4, block_bytes: int = 4_000_000) -> Iterator[bytes]:
+    """The ids of each text, taken in blocks of about ``block_bytes``."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = (sizes.cumsum() - sizes) // block_bytes  # of each text, by the bytes before it
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(texts)]
+    for begin, end in zip(cuts, cuts[1:]):
+        if end > begin:
+            yield from encoder.encode_block(texts.slice(begin, end - begin), width)
 
 
 def token_pieces(df: DataFrame, key: str, text: str, path: str, end_id: int, most: int) -> DataFrame:

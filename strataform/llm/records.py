@@ -93,7 +93,7 @@ def write_records(
 
         def one(batch):
             nonlocal turn
-            for value, ids in zip(batch.column("key").to_pylist(), encoded(encoder, batch.column("text"))):
+            for value, ids in zip(batch.column("key").to_pylist(), encoded(encoder, batch.column("text"), width)):
                 low, high = (0, 0) if value is None else (bisect.bisect_left(cuts, value), bisect.bisect_right(cuts, value))
                 part, turn = low + turn % (high - low + 1), turn + 1
                 yield part, value, shrink(ids + end)

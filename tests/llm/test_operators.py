@@ -490,3 +490,22 @@ def test_digest_columns(spark):
         assert r.decoded_sha256 == hashlib.sha256(tok.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     crcs = {r.doc_id: r.text_crc32 for r in QUERIES["op3_rendezvous_shards"](spark, sf).collect()}
     assert crcs == {i: zlib.crc32(t.encode()) for i, t in texts_.items()}
+
+
+@pytest.mark.parametrize("path, width", [(BYTES, 2), (WORDS, 4)])
+def test_blocks_of_texts_match_the_library(path, width):
+    import pyarrow as pa
+    from strataform.llm.chunks import TextEncoder
+    from strataform.llm.packing import encoded, library_encoder
+
+    plain, known = library(path), library_encoder(path, width)
+    small = TextEncoder(known._chunk, b"".join, known._specials, known._special, most=7, encode_many=known._many)
+    odd = ["x <|endoftext|> y", "a\n b", "z" * 500 + " y", "　 a\tb İ", "don't 12 3. a<|endoftext|>b c"]
+    column = pa.array([None, *texts(), *odd, "", " "]).slice(1)
+    want = [
+        b"".join(i.to_bytes(width, "little") for i in plain.encode(t or "", add_special_tokens=False).ids)
+        for t in column.to_pylist()]
+    for encoder in (known, small):
+        for block in (1, 60, 1 << 20):
+            assert list(encoded(encoder, column, width, block)) == want
+    assert list(encoded(known, column.slice(0, 0), width)) == []
