@@ -31,32 +31,34 @@ class PieceCache(dict):
         value = self._older.get(piece)
         if value is None and piece and not piece[-1].isspace():
             value = self._encode(self._lead + piece)
-        self._keep(piece, value)
+        self._keep({piece: value})
         return value
 
-    def _keep(self, piece: str, value) -> None:
+    def _keep(self, new: dict) -> None:
         if len(self) >= self._most:  # what was not asked for since the last turn goes
             self._older = dict(self)
             self.clear()
-        if len(piece) <= 128:
-            self[piece] = value
+        self.update(new if max(map(len, new), default=0) <= 128 else {p: v for p, v in new.items() if len(p) <= 128})
 
     def values(self, pieces: list[str], encode_many: Callable[[list[str]], Iterable], at_once: int = 10_000) -> list:
         """The values of different pieces; what is new is encoded by few calls."""
         found = list(map(self.get, pieces))
-        new = []
-        for n, piece in enumerate(pieces):
-            if found[n] is None and piece and not piece[-1].isspace():
-                found[n] = self._older.get(piece)
-                if found[n] is None:
-                    new.append(n)
-                else:
-                    self._keep(piece, found[n])
+        new, again, older = [], {}, self._older
+        for n in [n for n, value in enumerate(found) if value is None]:
+            piece = pieces[n]
+            value = older.get(piece)
+            if value is not None:
+                found[n] = again[piece] = value
+            elif piece and not piece[-1].isspace():
+                new.append(n)
+        self._keep(again)
         for at in range(0, len(new), at_once):
             some = new[at:at + at_once]
-            for n, value in zip(some, encode_many([self._lead + pieces[n] for n in some])):
+            words = [pieces[n] for n in some]
+            learnt = dict(zip(words, encode_many([self._lead + w for w in words])))
+            self._keep(learnt)
+            for n, value in zip(some, learnt.values()):
                 found[n] = value
-                self._keep(pieces[n], value)
         return found
 
 
@@ -83,7 +85,7 @@ class TextEncoder:
         special = np.zeros(len(texts), bool)
         for s in self._specials:
             special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        split = pc.split_pattern(texts, " ")
+        split = pc.split_pattern(pc.if_else(pa.array(special), "", texts), " ")
         coded = split.flatten().dictionary_encode()
         pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         values = self._rest.values(pieces, self._many)
@@ -92,13 +94,14 @@ class TextEncoder:
         data = np.frombuffer(b"".join(v for v in values if v is not None), f"<u{width}")
         lengths = sizes[at]
         ends = np.r_[0, lengths.cumsum()]
-        place = np.repeat((sizes.cumsum() - sizes)[at] - ends[:-1], lengths)
-        place += np.arange(len(place))
+        small = np.int32 if max(ends[-1], len(data)) < 1 << 31 else np.int64
+        place = np.repeat(((sizes.cumsum() - sizes)[at] - ends[:-1]).astype(small), lengths)
+        place += np.arange(len(place), dtype=small)
         ids = data[place].tobytes()
         bounds = np.asarray(split.offsets) - split.offsets[0].as_py()
         low, high = bounds[:-1], bounds[1:]
         seen = np.r_[0, open_end[at].cumsum()]
-        slow = special | (seen[high] > seen[low])
+        slow = (seen[high] > seen[low]).tolist()  # special ones too: their one piece is empty
         begin, end = ends[low + 1] * width, ends[high] * width
         for n, (first, b, e) in enumerate(zip(at[low].tolist(), begin.tolist(), end.tolist())):
             yield self.encode(texts[n].as_py()) if slow[n] else self._first[pieces[first]] + ids[b:e]

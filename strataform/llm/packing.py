@@ -18,9 +18,12 @@ from strataform.llm.common import stored
 @lru_cache(maxsize=2)
 def library_encoder(path: str, width: int = 4) -> TextEncoder:
     """The tokenizer of a file, piece by piece; ids as little-endian integers of ``width`` bytes."""
+    import os
+
     import numpy as np
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
@@ -29,18 +32,29 @@ def library_encoder(path: str, width: int = 4) -> TextEncoder:
     def ids(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, kind).tobytes()
 
+    vocabulary = tokenizer.get_vocab()
+    closed = any(token.endswith("</w>") for token in vocabulary)
+    spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space in byte-level form
+    spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120" and not closed]] = True
+
     def many(words: list[str]) -> list[bytes]:
-        """Ids of words that are encoded each for itself, by one call."""
-        found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(found.ids, kind).tobytes()
-        ends = (np.bincount(np.array(found.word_ids, np.int64), minlength=len(words)).cumsum() * width).tolist()
-        return [ids[b:e] for b, e in zip([0, *ends], ends)]
+        """Ids of words that begin with their only space, by one call."""
+        if not closed:  # the first token of each word shows
+            found = tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, kind)
+            begins = np.flatnonzero(spaced[ids])
+        if closed or len(begins) != len(words):
+            found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, kind)
+            begins = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)))
+        ids, begins = ids.tobytes(), [*(begins * width).tolist(), len(ids) * width]
+        return [ids[b:e] for b, e in zip(begins, begins[1:])]
 
     specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     return TextEncoder(ids, b"".join, specials, ids, most=500_000, encode_many=many)
 
 
-def encoded(encoder: TextEncoder, texts: pa.Array, width: int = 4, block_bytes: int = 4_000_000) -> Iterator[bytes]:
+def encoded(encoder: TextEncoder, texts: pa.Array, width: int = 4, block_bytes: int = 8_000_000) -> Iterator[bytes]:
     """The ids of each text, taken in blocks of about ``block_bytes``."""
     import numpy as np
     import pyarrow.compute as pc
