@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -61,7 +61,8 @@ def aggregate(
 
     Without growing measures this is one scan and one shuffle of partial sums.
     With them, ordinary groups still take that way and hot groups go through
-    value counts, whose buffers do not grow. ``sizes``: a cheaper frame to count the
+    value counts, whose buffers do not grow. Both leave NaN out of medians, modes and distinct
+    counts, as if it were null, and take -0.0 for 0.0. ``sizes``: a cheaper frame to count the
     first key in, such as the table that ``df`` joins with something.
     """
     keys = list(keys)
@@ -71,12 +72,28 @@ def aggregate(
     growing = [m for m in measures if m.kind in GROWING]
     if not growing:
         return _one_pass(df, keys, measures)
+    measures = _settled(df, measures)
     light, hot = split_hot(df, keys if sizes is None else keys[:1], hot_rows, sizes)
     names = [*keys, *[m.name for m in measures]]
     done = _one_pass(light, keys, measures)
     return done.union(_hot_groups(hot, keys, measures).select(*names))
 
 
+def _settled(df: DataFrame, measures: Sequence[Measure]) -> list[Measure]:
+    """Measures whose growing inputs hold no NaN and no -0.0, on which aggregates and groupings differ."""
+    kinds = df.select(*[F.expr(m.text).alias(f"_t{i}") for i, m in enumerate(measures) if m.kind in GROWING]).schema
+    types = iter(kinds.fields)
+    out = []
+    for m in measures:
+        kind = next(types).dataType.simpleString() if m.kind in GROWING else ""
+        if m.kind == "median" and kind == "string":
+            m, kind = replace(m, text=f"CAST({m.text} AS DOUBLE)"), "double"
+        if kind in ("double", "float"):
+            m = replace(m, text=f"CASE WHEN NOT isnan({m.text}) THEN ({m.text}) + CAST(0 AS {kind}) END")
+        out.append(m)
+    return out
+
+
 def _one_pass(df: DataFrame, keys: list[str], measures: Sequence[Measure]) -> DataFrame:
     """All measures in one grouped aggregate. Columns taken from the same end row travel
     as one struct: one comparison per row, not one per column."""

@@ -227,7 +227,18 @@ def numeric_only(df: DataFrame) -> DataFrame:
 
 
 def fill_constant(df: DataFrame, value: float = rules.FILL_VALUE) -> DataFrame:
-    """Nulls and NaN of numeric columns become one constant."""
+    """Nulls and NaN of numeric columns become one constant.
+
+    Whole-number columns too narrow for it are widened, to 32 bits if those do.
+    """
+    most = {T.ByteType: 1 << 7, T.ShortType: 1 << 15, T.IntegerType: 1 << 31}
+    wide = "int" if -(1 << 31) <= value < 1 << 31 else "long"
+    narrow = {
+        f.name for f in df.schema.fields
+        if (size := most.get(type(f.dataType))) is not None and not -size <= value < size
+    }
+    if narrow:
+        df = df.select(*[F.col(quoted(c)).cast(wide).alias(c) if c in narrow else F.col(quoted(c)) for c in df.columns])
     return df.fillna(value)
 
 

@@ -346,3 +346,12 @@ def test_correlated_columns_may_be_dropped_by_dropped_ones(spark):
 
 def test_importance_lists():
     assert profile.split_importances({"a": 1.0, "b": 3.0, "c": 2.0}, ["b"], 2) == (["b"], ["c"])
+
+
+def test_fill_widens_narrow_columns(spark):
+    df = spark.sql("SELECT CAST(NULL AS TINYINT) AS a, CAST(7 AS SMALLINT) AS `b.c`, CAST(NULL AS INT) AS d, 'x' AS e")
+    filled = p.fill_constant(df, -99999999)
+    assert filled.dtypes == [("a", "int"), ("b.c", "int"), ("d", "int"), ("e", "string")]
+    assert tuple(filled.first()) == (-99999999, 7, -99999999, "x")
+    assert tuple(p.fill_constant(df, 1 << 40).first()) == (1 << 40, 7, 1 << 40, "x")
+    assert p.fill_constant(df, 5).dtypes == df.dtypes

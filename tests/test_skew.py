@@ -131,3 +131,20 @@ def test_sizes_from_a_cheaper_frame(rows):
     measures = [Measure("codes", "flag_M", "distinct"), Measure("n", "count(1)")]
     split = aggregate(rows, ["case_id", "num_group1"], measures, hot_rows=100, sizes=rows.select("case_id"))
     same(split, aggregate(rows, ["case_id", "num_group1"], measures))
+
+
+def test_nan_and_signed_zero_count_alike(spark):
+    """NaN is left out and -0.0 is 0.0, however large a group is; by hand, both ways."""
+    nan = float("nan")
+    values = {1: [nan, 1.0, 2.0], 2: [nan, nan, 1.0], 3: [0.0, -0.0, 5.0], 4: [nan, nan, None], 5: [-0.0, -0.0, None]}
+    rows = spark.createDataFrame([(k, v, str(v)) for k, vs in values.items() for v in vs], "case_id long, v double, s string")
+    measures = [
+        Measure("mid", "v", "median"), Measure("mid_text", "nullif(s, 'None')", "median"), Measure("top", "v", "mode"),
+        Measure("kinds", "v", "distinct"), Measure("few", "CAST(v AS FLOAT)", "distinct", where="v < 2"), Measure("n", "count(1)"),
+    ]
+    want = {1: (1.5, 1.5, 1.0, 2, 1, 3), 2: (1.0, 1.0, 1.0, 1, 1, 3), 3: (0.0, 0.0, 0.0, 2, 1, 3),
+            4: (None, None, None, 0, 0, 3), 5: (0.0, 0.0, 0.0, 1, 1, 3)}
+    for hot_rows in (0, 1_000_000):
+        got = aggregate(rows, ["case_id"], measures, hot_rows).collect()
+        assert {r["case_id"]: tuple(r)[1:] for r in got} == want
+        assert all("-" not in str(r["top"]) for r in got)
