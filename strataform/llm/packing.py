@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import random
+import string
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -37,18 +38,31 @@ def library_encoder(path: str, width: int = 4) -> TextEncoder:
     spaced = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that begin with a space in byte-level form
     spaced[[i for token, i in vocabulary.items() if token[0] == "\u0120" and not closed]] = True
 
+    # Words whose ends do not show in the ids are parted by a sign that is one token and that none of them holds.
+    parting = [t for t in "^`~{}\\_@=+[]" + string.digits + string.punctuation if f"{t}</w>" in vocabulary and len(ids(t)) == width]
+
     def many(words: list[str]) -> list[bytes]:
         """Ids of words that begin with their only space, by one call."""
-        if not closed:  # the first token of each word shows
-            found = tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, kind)
-            begins = np.flatnonzero(spaced[ids])
+        joined = "".join(words)
+        if closed:
+            between = next((t for t in parting if t not in joined), None)
+            if between is not None:
+                found = tokenizer.encode_batch_fast([f" {between}".join(["", *words])], add_special_tokens=False)[0]
+                coded = np.array(found.ids, kind)
+                marks = np.flatnonzero(coded == np.frombuffer(ids(between), kind)[0])
+                if len(marks) == len(words):  # one before each word
+                    coded, ends = coded.tobytes(), [*(marks[1:] * width).tolist(), len(coded) * width]
+                    return [coded[b + width:e] for b, e in zip((marks * width).tolist(), ends)]
+        else:  # the first token of each word shows
+            found = tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0]
+            coded = np.array(found.ids, kind)
+            begins = np.flatnonzero(spaced[coded])
         if closed or len(begins) != len(words):
             found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(found.ids, kind)
+            coded = np.array(found.ids, kind)
             begins = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words)))
-        ids, begins = ids.tobytes(), [*(begins * width).tolist(), len(ids) * width]
-        return [ids[b:e] for b, e in zip(begins, begins[1:])]
+        coded, begins = coded.tobytes(), [*(begins * width).tolist(), len(coded) * width]
+        return [coded[b:e] for b, e in zip(begins, begins[1:])]
 
     specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
     return TextEncoder(ids, b"".join, specials, ids, most=500_000, encode_many=many)
