@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from battery import views as v
 from battery.registry import query
 from strataform.operators import metrics, models
-from strataform.operators.splits import fraction_split
+from strataform.operators.splits import fraction_split, with_fold
+from strataform.plans.training import select_features, train_and_evaluate
 from strataform.session import scratch_path
+from strataform.sources.writers import write_folds
 
 FEATURES = ["mean_price", "max_price", "mean_quantity", "n_lines", "max_flag"]
 SMALL = {"maxIter": 5, "maxDepth": 3}
@@ -109,6 +111,51 @@ def v11(spark, sf_dir):
     return v.rounded(metrics.ensemble_mean(scored))
 
 
+DECIDED = "CAST(max(l_quantity) >= 40 AS DOUBLE)"
+
+
+def decided(spark, sf_dir):
+    """Case aggregates with one feature, ``large``, that decides the target."""
+    return matrix(spark, sf_dir).withColumn("large", F.col("target").cast("double"))
+
+
+@query("v11_train_and_evaluate", f"""
+WITH test AS (
+  SELECT l_orderkey, {DECIDED} AS large FROM lineitem
+  WHERE ('0x' || substr(md5('model|' || CAST(l_orderkey AS VARCHAR)), 1, 8))::BIGINT % 10000 >= 7500 GROUP BY l_orderkey)
+SELECT model, count(*) AS rows, sum(large) AS positives, 1.0::DOUBLE AS auc, 1.0::DOUBLE AS stability,
+       true AS is_mean, true AS confident
+FROM test, (VALUES ('ensemble'), ('m0'), ('m1')) AS names(model) GROUP BY model""")
+def v11_evaluate(spark, sf_dir):
+    # one feature decides the target, so each model must rank every week without a fault
+    train, test = fraction_split(decided(spark, sf_dir), 0.75, salt="model")
+    folder, out = scratch_path(spark, "fold-folders"), scratch_path(spark, "evaluated")
+    write_folds(with_fold(train, 2), test, folder, 2)
+    confs = models.parse_models({"features": ["large", "n_lines", "max_flag"], "models": {
+        f"m{i}": {"type": kind, "train_root_dir": f"{folder}/train{i}", "val_root_dir": f"{folder}/val{i}"}
+        for i, kind in enumerate(("lightgbm", "xgboost"))
+    }})
+    scores, report = train_and_evaluate(
+        spark, confs, f"{folder}/test", out, params={"lightgbm": {"maxIter": 10}, "xgboost": {"maxIter": 8, "maxDepth": 2}})
+    stored = [spark.read.parquet(f"{out}/scores/m{i}").select("case_id", F.col("score").alias(f"s{i}")) for i in (0, 1)]
+    one = F.lit(1).alias("_one")
+    told = scores.join(stored[0], "case_id").join(stored[1], "case_id").groupBy(one).agg(
+        F.sum("target").cast("double").alias("positives"),
+        F.bool_and(F.abs(F.col("score") - (F.col("s0") + F.col("s1")) / 2) < 1e-12).alias("is_mean"))
+    return v.rounded(report.select("*", one).join(told, "_one").select(
+        "model", "rows", "positives", "auc", "stability", "is_mean", (F.col("log_loss") < 0.3).alias("confident")))
+
+
+@query("b7_selection_chain", f"""
+SELECT l_orderkey AS case_id, {DECIDED} AS large, 'twice' AS dropped FROM lineitem GROUP BY l_orderkey""")
+def b7_chain(spark, sf_dir):
+    # "twice" repeats another feature and "large" decides the target: one goes, the other comes first
+    rows = decided(spark, sf_dir).withColumn("twice", F.col("mean_price") * 2)
+    found = select_features(
+        rows, ["mean_price", "twice", "n_lines", "large"], ["max_flag"], top=1, params={"maxIter": 5, "maxDepth": 2})
+    return rows.select("case_id", *found.continuous, *found.categorical, F.lit(",".join(found.dropped)).alias("dropped"))
+
+
 @query("b8_importance_selection")
 def b8(spark, sf_dir):
     rows = matrix(spark, sf_dir).withColumn("constant", F.lit(1.0))
@@ -126,7 +173,8 @@ def b9(spark, sf_dir):
 def b10(spark, sf_dir):
     rows = matrix(spark, sf_dir)
     kept, log = models.select_in_rounds(
-        lambda names: rows.select("case_id", "target", *names), FEATURES, [3, 5], params={"maxIter": 2, "maxDepth": 2}
+        lambda names: rows.select("case_id", "target", *names), FEATURES, [3, 5], params={"maxIter": 2, "maxDepth": 2},
+        store=scratch_path(spark, "slices"),
     )
     named = [(turn, part, name, name in kept) for (turn, part), names in log.items() for name in names]
     return spark.createDataFrame(named, "turn int, part int, feature string, final boolean")

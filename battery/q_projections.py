@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from battery import views as v
 from battery.registry import query
 from strataform.operators import projections as p
+from strataform.operators.windows import fill_by_type
 
 CHILD_TEXT = """case_id, num_group1, round(price_A, 6) AS "price_A", round(quantity_A, 6) AS "quantity_A",
   round(discount_P, 6) AS "discount_P", round(tax_T, 6) AS "tax_T", flag_M AS "flag_M", status_L AS "status_L",
@@ -134,6 +135,17 @@ def p12(spark, sf_dir):
     return v.rounded(p.fill_text(rows))
 
 
+@query("p12_fill_by_type", """
+SELECT case_id, num_group1, coalesce(CASE WHEN flag_M <> 'A' THEN flag_M END, 'NA') AS "flag_M",
+       round(first_value(discount_P IGNORE NULLS) OVER w, 6) AS "discount_P"
+FROM fx_child1 WINDOW w AS (PARTITION BY case_id ORDER BY num_group1 ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
+       "fx_child1")
+def p12_by_type(spark, sf_dir):
+    rows = v.child1(spark, sf_dir).select(
+        "case_id", "num_group1", F.when(F.col("flag_M") != "A", F.col("flag_M")).alias("flag_M"), "discount_P")
+    return v.rounded(fill_by_type(rows, "num_group1", ["case_id"]))
+
+
 @query("p13_infinite_to_null", """
 SELECT case_id, round(CASE WHEN tax_T > 0 THEN price_A END, 6) AS "price_A" FROM fx_child1""", "fx_child1")
 def p13(spark, sf_dir):

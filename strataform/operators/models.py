@@ -246,25 +246,46 @@ def select_above_mean(
     return kept
 
 
+_SLICES = "turn int, part int, features array<string>, kept array<string>"
+
+
+def stored_slices(spark: SparkSession, store: str) -> dict[tuple[int, int], tuple[list[str], list[str]]]:
+    """(round, slice) -> (its features, those kept) of the selection logged at ``store``; names only."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return {}
+    rows = spark.read.schema(_SLICES).parquet(store).collect()
+    return {(r["turn"], r["part"]): (r["features"], r["kept"]) for r in rows}
+
+
 def select_in_rounds(
     load: Callable[[Sequence[str]], DataFrame], features: Sequence[str], batch_sizes: Sequence[int],
     label: str = "target", done: Mapping[tuple[int, int], list[str]] | None = None,
-    params: Mapping | None = None,
+    params: Mapping | None = None, store: str | None = None,
 ) -> tuple[list[str], dict[tuple[int, int], list[str]]]:
     """Repeat B8 over slices of the features, one round per batch size.
 
     ``load`` builds the lazy frame of a slice. ``done`` holds the slices of an earlier,
-    interrupted run: (round, slice) -> kept names.
+    interrupted run: (round, slice) -> kept names. With ``store`` each slice is appended to a table
+    there as soon as it is known, and a later run with the same features goes on from it.
     """
+    spark = SparkSession.active()
     log = dict(done or {})
+    told = stored_slices(spark, store) if store else {}
     left = list(features)
     for turn, size in enumerate(batch_sizes):
         kept: list[str] = []
         for i in range(0, len(left), size):
-            at = (turn, i // size)
-            if at not in log:
-                part = left[i:i + size]
+            at, part = (turn, i // size), left[i:i + size]
+            if at in told:
+                if told[at][0] != part:
+                    raise ValueError(f"{store} holds a selection from other features")
+                log[at] = told[at][1]
+            elif at not in log:
                 log[at] = select_by_importance(load(part), part, label, params)
+            if store and at not in told:
+                row = spark.createDataFrame([(*at, part, log[at])], _SLICES)
+                row.coalesce(1).write.mode("append").parquet(store)
             kept += log[at]
         left = kept
     return left, log

@@ -63,6 +63,20 @@ def back_fill(
     return done.unionByName(_back_fill_spans(hot, columns, order, by, span))
 
 
+def fill_by_type(
+    df: DataFrame, order: str, by: Sequence[str] = (), text: str = "NA", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Nulls of text columns become ``text``, those of other columns the next value in ``order``.
+
+    ``order`` and ``by`` stay as they are.
+    """
+    fixed = {order, *by}
+    texts = [f.name for f in df.schema.fields if f.dataType.typeName() == "string" and f.name not in fixed]
+    others = [c for c in df.columns if c not in fixed and c not in texts]
+    filled = back_fill(df, others, order, by, hot_rows=hot_rows) if others else df
+    return filled.fillna(text, texts) if texts else filled
+
+
 def _back_fill_spans(
     df: DataFrame, columns: list[str], order: str, by: list[str], span: int
 ) -> DataFrame:

@@ -355,3 +355,37 @@ def test_fill_widens_narrow_columns(spark):
     assert tuple(filled.first()) == (-99999999, 7, -99999999, "x")
     assert tuple(p.fill_constant(df, 1 << 40).first()) == (1 << 40, 7, 1 << 40, "x")
     assert p.fill_constant(df, 5).dtypes == df.dtypes
+
+
+def test_selection_goes_on_from_its_store(spark, tmp_path, monkeypatch):
+    asked = []
+
+    def keep_all_but_last(df, features, label="target", params=None):
+        asked.append(list(features))
+        if len(asked) == 3:
+            raise RuntimeError("lost")
+        return list(features[:-1])
+
+    monkeypatch.setattr(models, "select_by_importance", keep_all_but_last)
+    store, names = str(tmp_path / "slices"), list("abcdef")
+    with pytest.raises(RuntimeError):
+        models.select_in_rounds(lambda part: None, names, [2, 3], store=store)
+    assert asked == [["a", "b"], ["c", "d"], ["e", "f"]]
+    kept, log = models.select_in_rounds(lambda part: None, names, [2, 3], store=store)
+    assert asked[3:] == [["e", "f"], ["a", "c", "e"]]
+    assert kept == ["a", "c"] and log[(0, 0)] == ["a"]
+    assert models.select_in_rounds(lambda part: None, names, [2, 3], store=store) == (kept, log)
+    assert len(asked) == 5
+    with pytest.raises(ValueError):
+        models.select_in_rounds(lambda part: None, list("abcxyz"), [2, 3], store=store)
+
+
+def test_fill_by_type(spark):
+    from strataform.operators.windows import fill_by_type
+
+    rows = spark.createDataFrame(
+        [(1, None, None, None), (2, "x", float("nan"), None), (3, None, 3.0, 7), (4, "", None, None)],
+        "at int, word string, num double, whole int")
+    assert [tuple(r) for r in fill_by_type(rows, "at").orderBy("at").collect()] == [
+        (1, "NA", 3.0, 7), (2, "x", 3.0, 7), (3, "NA", 3.0, 7), (4, "", None, None)]
+    assert fill_by_type(rows.limit(0), "at").count() == 0
