@@ -9,7 +9,7 @@ from battery.registry import query
 from strataform.operators import metrics, models
 from strataform.operators.splits import fraction_split, with_fold
 from strataform.plans.training import select_features, train_and_evaluate
-from strataform.session import scratch_path
+from strataform.session import materialise, scratch_path
 from strataform.sources.writers import write_folds
 
 FEATURES = ["mean_price", "max_price", "mean_quantity", "n_lines", "max_flag"]
@@ -178,3 +178,61 @@ def b10(spark, sf_dir):
     )
     named = [(turn, part, name, name in kept) for (turn, part), names in log.items() for name in names]
     return spark.createDataFrame(named, "turn int, part int, feature string, final boolean")
+
+
+# -- targets that features decide, so that the outcome is certain ---------------------------
+
+HELD = "('0x' || substr(md5('model|' || CAST(l_orderkey AS VARCHAR)), 1, 8))::BIGINT % 10000 >= 7500"
+
+
+@query("v7_decided_scores", f"""
+SELECT l_orderkey AS case_id, CAST(max(l_quantity) >= 40 AS INT) AS predicted, 1.0::DOUBLE AS auc
+FROM lineitem WHERE {HELD} GROUP BY l_orderkey""")
+def v7_decided(spark, sf_dir):
+    train, test = fraction_split(decided(spark, sf_dir), 0.75, salt="model")
+    names = ["large", *FEATURES]
+    scored = materialise(models.score_frame(
+        models.train_trees(train, names, params=SMALL), test, names, ["case_id", "target"]), "decided-scores")
+    one = F.lit(1).alias("_one")
+    told = models.score_report(scored).select(one, "auc")
+    return v.rounded(scored.select("case_id", (F.col("score") >= 0.5).cast("int").alias("predicted"), one).join(
+        told, "_one").drop("_one"))
+
+
+@query("v9_search_decided", f"""
+SELECT l_orderkey AS case_id, CAST((max(l_quantity) >= 40) <> (count(*) >= 4) AS INT) AS predicted, 2 AS max_depth
+FROM lineitem WHERE {HELD} GROUP BY l_orderkey""")
+def v9_decided(spark, sf_dir):
+    # either of two features but not both: single splits cannot rank it, trees of depth 2 can
+    rows = decided(spark, sf_dir).withColumn("many", (F.col("n_lines") >= 4).cast("double")).withColumn(
+        "target", (F.col("large") != F.col("many")).cast("int"))
+    train, test = fraction_split(rows, 0.75, salt="model")
+    names = ["large", "many"]
+    grid = models.sampled_grid({"maxDepth": [1, 2], "maxIter": [3, 6]}, 4)
+    model, best, _ = models.search(train, test, names, [{**g, "subsamplingRate": 1.0} for g in grid])
+    return models.score_frame(model, test, names).select(
+        "case_id", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.lit(best["maxDepth"]).alias("max_depth"))
+
+
+@query("b8_decided_importance", f"""
+SELECT l_orderkey AS case_id, {DECIDED} AS large FROM lineitem GROUP BY l_orderkey""")
+def b8_decided(spark, sf_dir):
+    rows = decided(spark, sf_dir)
+    return rows.select("case_id", *models.select_by_importance(rows, ["n_lines", "large", "max_flag"], params=SMALL))
+
+
+@query("b9_decided_mean_threshold", f"""
+SELECT l_orderkey AS case_id, {DECIDED} AS large FROM lineitem GROUP BY l_orderkey""")
+def b9_decided(spark, sf_dir):
+    rows = decided(spark, sf_dir)
+    return rows.select("case_id", *models.select_above_mean(rows, ["n_lines", "large", "max_flag"], most=1))
+
+
+@query("b10_decided_rounds", f"""
+SELECT l_orderkey AS case_id, {DECIDED} AS large FROM lineitem GROUP BY l_orderkey""")
+def b10_decided(spark, sf_dir):
+    rows = decided(spark, sf_dir)
+    kept, _ = models.select_in_rounds(
+        lambda names: rows.select("case_id", "target", *names), ["mean_price", "n_lines", "large", "max_flag"], [2, 4],
+        params=SMALL, store=scratch_path(spark, "slices"))
+    return rows.select("case_id", *kept)

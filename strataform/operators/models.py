@@ -79,7 +79,9 @@ def train_trees(
         F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(1.0).alias("_weight"),
     ), "train")
     stages, texts = feature_stages(data, features)
-    settings = {"maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42}
+    # a gain below 1e-12 is rounding: splits for it would count as uses of a feature
+    settings = {
+        "maxIter": 20, "maxDepth": 3, "stepSize": 0.1, "subsamplingRate": 0.8, "seed": 42, "minInfoGain": 1e-12}
     settings.update(params or {})
     # a category column needs a bin per category, and one for unseen values
     settings.setdefault("maxBins", max(32, widest_category(data, texts) + 2))
