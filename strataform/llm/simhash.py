@@ -132,20 +132,26 @@ def _shared_keys(chunk: int):
     return run
 
 
-def _verified(words: int, most: int):
-    """From rows sorted by block: links between fingerprints of a block with ``most`` differing bits or fewer.
+def _within(most: int):
+    """Whether fingerprints have ``most`` differing bits or fewer: one of each pair by two arrays, or one with many."""
+    def near(prints, one, other):
+        import numpy as np
 
-    A block's links are given as stars, one per group of linked fingerprints.
-    """
-    names = [f"w{n}" for n in range(words)]
+        return np.bitwise_count(prints[one] ^ prints[other]).sum(axis=-1) <= most
+
+    return near
 
+
+def _verified(names: Sequence[str], near, sets: str | None = None):
+    """From rows sorted by block: links between the rows of a block that ``near(rows, one, other)`` finds.
+
+    ``rows`` are the columns ``names`` as unsigned words, with ``sets`` (a column of packed words) as
+    a second part. A block's links are given as stars, one per group of linked rows.
+    """
     def stars(ids, prints):
         import numpy as np
 
         size = len(ids)
-        if size == 2:
-            near = int(np.bitwise_count(prints[0] ^ prints[1]).sum()) <= most
-            return [(min(ids), max(ids))] if near and ids[0] != ids[1] else []
         label = np.full(size, -1)
         for begin in range(size):
             if label[begin] >= 0:
@@ -156,9 +162,9 @@ def _verified(words: int, most: int):
                 free = np.flatnonzero(label < 0)
                 if not len(free):
                     break
-                near = free[np.bitwise_count(prints[free] ^ prints[at]).sum(axis=1) <= most]
-                label[near] = begin
-                front += near.tolist()
+                met = free[near(prints, at, free)]
+                label[met] = begin
+                front += met.tolist()
         links = []
         for begin in np.unique(label):
             group = ids[label == begin]
@@ -171,16 +177,18 @@ def _verified(words: int, most: int):
         held = None
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-        def links(keys, ids, prints):
+        def links(keys, ids, prints, packed=None):
+            if sets is not None:
+                packed = [np.frombuffer(x, np.uint64) for x in packed]
+            rows = lambda b, e: prints[b:e] if sets is None else (prints[b:e], packed[b:e])
             starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             ends = np.r_[starts[1:], len(keys)]
             pairs = starts[ends - starts == 2]
-            near = np.bitwise_count(prints[pairs] ^ prints[pairs + 1]).sum(axis=1) <= most
-            near &= ids[pairs] != ids[pairs + 1]
-            one, two = ids[pairs[near]], ids[pairs[near] + 1]
+            met = near(rows(0, len(ids)), pairs, pairs + 1) & (ids[pairs] != ids[pairs + 1])
+            one, two = ids[pairs[met]], ids[pairs[met] + 1]
             out = set(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
             for b, e in zip(starts[ends - starts > 2], ends[ends - starts > 2]):
-                out.update(stars(ids[b:e], prints[b:e]))
+                out.update(stars(ids[b:e], rows(b, e)))
             a, b = zip(*sorted(out)) if out else ((), ())
             return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=schema)
 
@@ -190,6 +198,8 @@ def _verified(words: int, most: int):
                 batch.column("id").to_numpy(),
                 np.stack([batch.column(c).to_numpy().view(np.uint64) for c in names], axis=1),
             ]
+            if sets is not None:
+                now.append(np.array([*batch.column(sets).to_pylist(), None], object)[:-1])
             if held is not None:
                 now = [np.concatenate(x) for x in zip(held, now)]
             if not len(now[0]):
@@ -205,6 +215,14 @@ def _verified(words: int, most: int):
     return run
 
 
+def connected(nodes: DataFrame, groups: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``names, component_id`` of ``nodes(id, least, ..)`` by ``groups(node, component)``: the least of each group."""
+    least = nodes.join(groups, nodes["id"] == groups["node"], "left").select(
+        *names, "least", F.coalesce("component", "id").alias("group"))
+    ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
+    return stored(least.join(ids, "group").select(*names, "component_id"), "classes")
+
+
 def near_duplicates(
     prints: DataFrame, key: str, words: int, segments: Sequence[Segment], most: int, chunk: int = 1024,
 ) -> DataFrame:
@@ -238,11 +256,7 @@ def near_duplicates(
     links = (
         blocks.join(nodes.select("id", *names), "id").repartition("key", "one", "two")
         .sortWithinPartitions("key", "one", "two").select("key", "one", "two", "id", *names)
-        .mapInArrow(_verified(words, most), "a long, b long")
+        .mapInArrow(_verified(names, _within(most)), "a long, b long")
     )
-    groups = components(links)
-    least = nodes.join(groups, nodes["id"] == groups["node"], "left").select(
-        *names, "least", F.coalesce("component", "id").alias("group"))
-    ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
-    classes = stored(least.join(ids, "group").select(*names, "component_id"), "classes")
+    classes = connected(nodes, components(links), names)
     return prints.join(classes, names).select(key, *names, "component_id")

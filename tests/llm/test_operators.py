@@ -509,3 +509,55 @@ def test_blocks_of_texts_match_the_library(path, width):
         for block in (1, 60, 1 << 20):
             assert list(encoded(encoder, column, width, block)) == want
     assert list(encoded(known, column.slice(0, 0), width)) == []
+
+
+# near copies and pipeline ------------------------------------------------------------------------
+
+
+def shingled(text, n=5):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return frozenset(tuple(words[i:i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def copies_and_others(seed=3, line="one line that many of the texts have in common as their head"):
+    """Texts with copies changed in so many words that similarities lie on both sides of 0.8, chains too."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    made = []
+    for n in range(30):
+        text = rng.choices(vocabulary, k=rng.choice([3, 5, 30, 80, 300]))
+        for _ in range(6):
+            made.append((line + " " if n % 3 else "") + " ".join(text))
+            text = list(text)
+            for _ in range(rng.randint(0, max(1, len(text) // 30))):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+    return [*made, None, "", "  \n", made[0].upper(), made[0]]
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_similar_texts_match_brute_force(spark, chunk):
+    from strataform.llm.near import similar
+
+    made = copies_and_others()
+    sets = [shingled(t) for t in made]
+    alike = lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    pairs = [len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for a in range(len(made)) for b in range(a)]
+    assert sum(0.8 <= p < 0.9 for p in pairs) > 20 and sum(0.6 < p < 0.8 for p in pairs) > 20
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in similar(
+        df, "doc_id", "text", chunk=chunk, family_chunk=chunk, most_common=50).collect()}
+    assert got == classes(range(len(made)), alike)
+    assert similar(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_pipeline_drops_exact_near_copies(spark):
+    """One of each group of near copies stays: the least doc_id, whatever fingerprints say."""
+    from corpus_pipeline import drop_copies
+
+    made = copies_and_others(seed=4)
+    sets = [shingled(t) for t in made]
+    want = classes(range(len(made)), lambda a, b: sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    rows = [(i, t, "en") for i, t in enumerate(made)]
+    df = spark.createDataFrame([*rows, rows[0], (None, made[0], "en")], "doc_id long, text string, lang string").repartition(3)
+    got = drop_copies(spark, df, "").collect()
+    assert sorted(map(tuple, got)) == [rows[i] for i in sorted(set(want.values()))]
