@@ -347,6 +347,19 @@ def test_breeding_beats_first_tries():
     assert bins == evolve(sizes, 100, [], people=6, generations=30, seed=1)
 
 
+def test_cells_that_miss_the_bound_are_bred_longer(spark):
+    """Triples that fill a sequence each: two generations of four packings ended at 64 sequences, one more."""
+    from strataform.llm.packing import pack
+
+    rng, sizes = random.Random(5), []
+    for _ in range(60):
+        a, b = rng.randint(1100, 1700), rng.randint(1100, 1500)
+        sizes += [a, b, 4096 - a - b]
+    got = pack(spark.createDataFrame(list(enumerate(sizes)), "n long, length long"), "length", room=4096).collect()
+    assert sorted(r.length for r in got) == sorted(sizes)
+    assert len({r.sequence_id for r in got}) <= 63
+
+
 # 9 -------------------------------------------------------------------------------------------
 
 
