@@ -24,6 +24,14 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes the files of a table made by ``stored`` that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_address(table: DataFrame, name: str = "_address") -> DataFrame:
     """A column that tells rows of a stored table apart, repeated rows too."""
     return table.withColumn(
@@ -56,12 +64,15 @@ def components(edges: DataFrame, label: str = "links", most_rounds: int = 60) ->
         )
         down = large.where("u <> v").distinct()  # u > v in every row
         down = stored(down, label)
-        low = stored(least(down), label)
+        floor = stored(least(down), label)
         small = (
-            down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
+            down.join(floor, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .unionByName(floor.select("u", F.col("m").alias("v")))
         )
-        links = stored(small.select(F.col("v").alias("u"), F.col("u").alias("v")).distinct(), label)
+        now = stored(small.select(F.col("v").alias("u"), F.col("u").alias("v")).distinct(), label)
+        for read in (links, low, down, floor):
+            discard(read)
+        links = now
         mark = links.agg(
             F.count("*").alias("n"), F.countDistinct("v").alias("leaves"), F.bit_xor(F.xxhash64("u", "v")).alias("x"),
         ).first()

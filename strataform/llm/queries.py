@@ -156,3 +156,10 @@ def op10_token_records(spark, sf_dir):
         table(spark, sf_dir, "documents"), "doc_id", "text", tokenizer("byte_bpe_50k.json"), end_id=2)
     return read_records(index).select(
         F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op11_jaccard_join")
+def op11_jaccard_join(spark, sf_dir):
+    from strataform.llm.part_enum import similarity_join
+
+    return similarity_join(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, part=9, whole=10)

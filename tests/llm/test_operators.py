@@ -557,8 +557,7 @@ def test_similar_texts_match_brute_force(spark, chunk):
     pairs = [len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b])) for a in range(len(made)) for b in range(a)]
     assert sum(0.8 <= p < 0.9 for p in pairs) > 20 and sum(0.6 < p < 0.8 for p in pairs) > 20
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
-    got = {r.doc_id: r.component_id for r in similar(
-        df, "doc_id", "text", chunk=chunk, family_chunk=chunk, most_common=50).collect()}
+    got = {r.doc_id: r.component_id for r in similar(df, "doc_id", "text", chunk=chunk).collect()}
     assert got == classes(range(len(made)), alike)
     assert similar(df.where("false"), "doc_id", "text").count() == 0
 
