@@ -163,3 +163,20 @@ def op11_jaccard_join(spark, sf_dir):
     from strataform.llm.part_enum import similarity_join
 
     return similarity_join(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, part=9, whole=10)
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    from strataform.llm.conversations import damaged, repair_conversations
+
+    turns = table(spark, sf_dir, "conversations")
+    rows = damaged(turns, "conv_id", "turn", "role", "text")
+    done = repair_conversations(rows, turns.select(F.col("conv_id").alias("conv")))
+    return done.withColumnRenamed("conv", "conv_id").withColumnRenamed("sha256", "repaired_sha256")
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    from strataform.llm.whitening import whiten
+
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", most=8)
