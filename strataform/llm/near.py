@@ -8,22 +8,85 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.common import discard, stored
-from strataform.llm.simhash import Segment, _ball, _shared_keys, connected, fingerprint
+from strataform.llm.simhash import Segment, _ball, connected, fingerprint
 from strataform.llm.verify import Near, described, exact_groups, set_nodes
 
 #: Ten tables of 25 bits: at a similarity of 0.8 some 15 % of the bits differ, and a segment meets in a quarter of all cases.
 TABLES: tuple[Segment, ...] = tuple((word, low, 25) for word in range(5) for low in (0, 32))
 
 
+def _partners(most: int, room: int = 1 << 16):
+    """From rows ``key, id, check`` sorted by key: those that have another row of their key within ``most`` bits of ``check``.
+
+    Texts that merely fall into one bucket are dropped here, so that what is passed on grows with the links and not with
+    the square of the table. A key of more than ``room`` rows passes in pieces, and whole.
+    """
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        near = lambda a, b: np.bitwise_count((a ^ b).view(np.uint64)) <= most
+
+        def met(keys, ids, checks):
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            sizes = np.diff(np.r_[starts, len(keys)])
+            fits = np.zeros(len(keys), bool)
+            left = np.repeat(sizes, sizes) - (np.arange(len(keys)) - np.repeat(starts, sizes))
+            small = np.repeat(sizes <= 64, sizes)  # left: rows of the key from this one on
+            for step in range(1, min(64, int(sizes.max())) if len(sizes) else 0):
+                one = np.flatnonzero(small & (left > step))
+                if not len(one):
+                    break
+                one = one[near(checks[one], checks[one + step])]
+                fits[one] = fits[one + step] = True
+            for begin, size in zip(starts[sizes > 64], sizes[sizes > 64]):
+                own = checks[begin:begin + size]
+                ok = fits[begin:begin + size]
+                for n in range(64):
+                    hit = near(own, own[n])
+                    hit[n] = hit.sum() > 1
+                    ok |= hit
+                alone = np.flatnonzero(~ok)
+                if len(alone) > 256:
+                    ok[:] = True
+                for n in alone[:256]:
+                    ok[n] |= near(own, own[n]).sum() > 1
+            return pa.record_batch({"key": pa.array(keys[fits]), "id": pa.array(ids[fits])})
+
+        held, hot = [np.empty(0, np.int64)] * 3, None
+        for batch in batches:
+            now = [np.r_[h, batch.column(c).to_numpy()] for h, c in zip(held, ("key", "id", "check"))]
+            if not len(now[0]):
+                continue
+            if hot is not None:  # what is left of a key that began to pass in pieces
+                end = int(np.searchsorted(now[0], hot, "right"))
+                yield pa.record_batch({"key": pa.array(now[0][:end]), "id": pa.array(now[1][:end])})
+                now = [x[end:] for x in now]
+                hot = hot if not len(now[0]) else None
+            cut = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            if cut:
+                yield met(*[x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+            if len(held[0]) > room:
+                hot = int(held[0][0])
+                yield pa.record_batch({"key": pa.array(held[0]), "id": pa.array(held[1])})
+                held = [x[:0] for x in held]
+        if len(held[0]):
+            yield met(*held)
+
+    return run
+
+
 def similar(
     df: DataFrame, key: str, text: str, shingle: int = 5, part: int = 4, whole: int = 5,
-    segments: Sequence[Segment] = TABLES, words: int = 5, most: int = 96, chunk: int = 1024,
+    segments: Sequence[Segment] = TABLES, words: int = 5, most: int = 96, check: int = 20, chunk: int = 1024,
 ) -> DataFrame:
     """``key, component_id`` per row: the least key reachable over links between texts' sets of shingles.
 
     Texts have fingerprints of ``words`` times 64 bits. Multi-index hashing finds candidates: a table
     for each segment, a text filed under its segment and all one-bit neighbours, so that segments that
-    differ in two bits meet. Candidates whose whole fingerprints differ in ``most`` bits or fewer are linked if
+    differ in two bits meet. Those that differ in more than ``check`` of 64 other bits from all they meet are dropped at
+    once. Candidates whose whole fingerprints differ in ``most`` bits or fewer are linked if
     the Jaccard similarity of the shingle sets is ``part / whole`` or more, exactly: no wrong link is made; pairs
     whose segments all differ in three bits or more are missed (the README has the share).
 
@@ -40,11 +103,13 @@ def similar(
     word = "conv(hex(substring(prints, {at}, 8)), 16, -10)"  # 64 bits as a signed number
     unpacked = nodes.select("id", *[
         F.expr(word.format(at=8 * n + 1)).cast("long").alias(f"w{n}") for n in range(words)])
-    balls = ", ".join(_ball(s, n) for n, s in enumerate(segments))
-    filed = unpacked.select("id", F.explode(F.expr(f"flatten(array({balls}))")).alias("key"))
+    filed = [
+        F.expr(f"transform({_ball(segment, n)}, k -> struct(k AS key, w{(segment[0] + 1) % words} AS check))")
+        for n, segment in enumerate(segments)]
+    entries = unpacked.select("id", F.explode(F.flatten(F.array(*filed))).alias("entry"))
     met = stored(
-        filed.select("key", "id").repartition("key").sortWithinPartitions("key")
-        .mapInArrow(_shared_keys(chunk), "key long, chunk int, id long").select("key", "id"), "shared-keys")
+        entries.select("entry.key", "id", "entry.check").repartition("key").sortWithinPartitions("key")
+        .mapInArrow(_partners(check), "key long, id long"), "shared-keys")
     groups = exact_groups(rows, nodes, met, shingle, Near(part, whole, most), chunk)
     classes = connected(nodes, groups, ["d0", "d1"])
     out = sets.select("key", "d0", "d1").join(classes, ["d0", "d1"]).select(F.col("key").alias(key), "component_id")

@@ -92,19 +92,23 @@ class Near:
 
 
 def _pivots(met: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of each bucket's pivot with its members, by way of pivots of 16 parts of the bucket.
+    """Pairs ``a, b`` of each bucket's pivot with its members.
 
-    A pivot is the member that meets others most often: of copies of one original, that is the original.
+    A pivot is the member that meets others most often: of copies of one original, that is the original. It is found by
+    a maximum that combines on the map side.
     """
     often = met.groupBy("id").agg(F.count("*").alias("n"))
-    rank = F.struct("n", (-F.col("id")).alias("id"))
-    ranked = met.join(often, "id").select(
-        "key", "id", F.pmod(F.xxhash64("id"), F.lit(16)).alias("salt"), rank.alias("rank"))
-    local = ranked.groupBy("key", "salt").agg(F.max("rank").alias("top"))
-    whole = local.groupBy("key").agg(F.max("top").alias("head"))
-    inner = ranked.join(local, ["key", "salt"]).select((-F.col("top.id")).alias("a"), F.col("id").alias("b"))
-    outer = local.join(whole, "key").select((-F.col("head.id")).alias("a"), (-F.col("top.id")).alias("b"))
-    return inner.unionByName(outer).where("a <> b").distinct()
+    ranked = met.join(often, "id").select("key", "id", F.struct("n", (-F.col("id")).alias("id")).alias("rank"))
+    heads = ranked.groupBy("key").agg(F.max("rank").alias("head"))
+    return ranked.join(heads, "key").select((-F.col("head.id")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+
+
+def _links(one, two):
+    """Pairs of two lists of arrays, the lesser first."""
+    import numpy as np
+
+    one, two = np.concatenate(one), np.concatenate(two)
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], schema=_PAIR)
 
 
 def _filtered(pairs: DataFrame, nodes: DataFrame, near: Near) -> DataFrame:
@@ -183,12 +187,13 @@ def _checked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     return links
 
 
-def _apart(met: DataFrame, nodes: DataFrame, groups: DataFrame, near: Near, chunk: int) -> DataFrame:
+def _apart(met: DataFrame, nodes: DataFrame, groups: DataFrame, near: Near, chunk: int, few: bool) -> DataFrame:
     """Pairs of a bucket whose members are in different groups (``node, component``) and that ``near`` lets pass.
 
     Buckets of two members, of one group, or equal to another bucket, have nothing to add. In the others the
     members outside the greatest group are compared with all members of other groups, in blocks of ``chunk`` and
-    ``chunk``: copies grow with what is apart, not with the bucket.
+    ``chunk``: copies grow with what is apart, not with the bucket. With ``few``, a block gives no more pairs than would
+    join its groups.
     """
     labelled = met.join(groups, met["id"] == groups["node"], "left").select(
         "key", "id", F.coalesce("component", "id").alias("label"))
@@ -222,25 +227,48 @@ def _apart(met: DataFrame, nodes: DataFrame, groups: DataFrame, near: Near, chun
             targets, lengths = np.flatnonzero(side == 0), np.array([len(b) for b in bits])
             kinds = [targets[lengths[targets] == n] for n in np.unique(lengths[targets])]
             kinds = [(k, np.stack([bits[n] for n in k])) for k in kinds]
-            out = set()
+            joined = dict(zip(labels.tolist(), labels.tolist()))  # of each label, another of its group, or itself
+
+            def root(label):
+                while joined[label] != label:
+                    joined[label] = label = joined[joined[label]]
+                return label
+
+            one, two, held = [], [], 0
             for q in np.flatnonzero(side == 1):
                 for kind, group in kinds:
-                    met_ = near.many(sizes[q], bits[q], prints[q], sizes[kind], group, prints[kind]) & (labels[kind] != labels[q])
-                    out.update((min(int(ids[q]), int(i)), max(int(ids[q]), int(i))) for i in ids[kind[met_]])
-            a, b = zip(*sorted(out)) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_PAIR)
+                    fits = near.many(sizes[q], bits[q], prints[q], sizes[kind], group, prints[kind]) & (labels[kind] != labels[q])
+                    found = kind[fits]
+                    if few:
+                        found = found[np.unique(labels[found], return_index=True)[1]]
+                        use = []
+                        for n in found:
+                            x, y = root(int(labels[q])), root(int(labels[n]))
+                            if x != y:
+                                joined[x] = y
+                                use.append(n)
+                        found = np.array(use, np.int64)
+                    one.append(np.full(len(found), ids[q]))
+                    two.append(ids[found])
+                    held += len(found)
+                if held > 1 << 16:
+                    yield _links(one, two)
+                    one, two, held = [], [], 0
+            if held:
+                yield _links(one, two)
 
         held, name = [], None
         for batch in batches:
-            for row in batch.to_pylist():
-                now = tuple(row[c] for c in block)
-                if now != name and held:
-                    yield pairs(held)
-                    held = []
-                name = now
-                held.append(row)
+            for begin in range(0, batch.num_rows, 1024):
+                for row in batch.slice(begin, 1024).to_pylist():
+                    now = tuple(row[c] for c in block)
+                    if now != name and held:
+                        yield from pairs(held)
+                        held = []
+                    name = now
+                    held.append(row)
         if held:
-            yield pairs(held)
+            yield from pairs(held)
 
     blocks = asked.unionByName(asking).join(nodes.select("id", "size", "bits", "prints"), "id")
     return blocks.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
@@ -255,19 +283,26 @@ def exact_groups(
     set), ``size, bits, prints``; ``met``: stored ``key, id``, no row twice. No pair is lost:
 
     1. each bucket's members are compared with its pivot; components of what is similar;
-    2. members of one bucket that are still apart are compared with each other (sketches first). Pairs that step 1 has
-       joined need no look, whatever the size of their group.
+    2. of one bucket's groups that are still apart, those pairs that may be similar and would join them all; components anew;
+    3. all other pairs of one bucket that are still apart and may be similar.
 
-    Every link is decided by the shingle sets themselves, read from the texts of those few rows again.
+    Each step looks only at what the steps before left apart, whatever the size of the groups. Every link is decided by the
+    shingle sets themselves, made again from the texts of those rows.
     """
     part, whole = near.part, near.whole
-    first = stored(_filtered(_pivots(met), nodes, near), "pairs")
-    links = _checked(rows, nodes, first, shingle, part, whole)
-    groups = components(links, "stars")
-    rest = stored(_apart(met, nodes, groups, near, chunk).join(first, ["a", "b"], "left_anti"), "pairs")
-    if rest.isEmpty():
-        return groups
-    return components(links.unionByName(_checked(rows, nodes, rest, shingle, part, whole)), "all-links")
+    seen = stored(_filtered(_pivots(met), nodes, near), "pairs")
+    links = _checked(rows, nodes, seen, shingle, part, whole)
+    groups = components(links, "joined")
+    for few in (True, False):
+        order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        rest = stored(_apart(met, nodes, groups, near, chunk, few).join(order(seen), ["a", "b"], "left_anti"), "pairs")
+        if not rest.isEmpty():
+            seen = seen.unionByName(rest)
+            more = _checked(rows, nodes, rest, shingle, part, whole)
+            if not more.isEmpty():
+                links = links.unionByName(more)
+                groups = components(links, "joined")
+    return groups
 
 
 def described(rows: DataFrame, shingle: int, prints=None, signatures=None) -> DataFrame:
