@@ -41,11 +41,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base check and no learned rule rejects."""
-    labels = table(spark, sf_dir, "labels")
-    marked = docs.select("doc_id", "text").join(
-        labels.where("quality IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
-    rules = fit_quality(stored(text_statistics(marked).select("doc_id", "stats"), "statistics"), labels)
-    kept = features(text_statistics(carried(docs))).where(~base_failed()).where(decision(rules).isNull())
+    judged = stored(features(text_statistics(carried(docs))), "statistics")  # read twice: to learn, then to judge
+    rules = fit_quality(judged.select("doc_id", "stats"), table(spark, sf_dir, "labels"))
+    kept = judged.where(~base_failed()).where(decision(rules).isNull())
     return given_back(kept, docs)
 
 
