@@ -99,14 +99,11 @@ def v10(spark, sf_dir):
 @query("v11_fold_ensemble")
 def v11(spark, sf_dir):
     """A model per configured fold; scores averaged over the models (V8)."""
-    conf = models.parse_models({"features": FEATURES, "models": {
-        f"m{i}": {"type": "lightgbm", "train_root_dir": f"train{i}", "val_root_dir": f"val{i}"} for i in range(2)
-    }})
     train, test = parts(spark, sf_dir)
     folds = fraction_split(train, 0.5, salt="fold")
     scored = [
-        models.score_frame(models.train_trees(folds[i], c.features, validation=folds[1 - i], params=SMALL), test, c.features)
-        for i, c in enumerate(conf)
+        models.score_frame(models.train_trees(folds[i], FEATURES, validation=folds[1 - i], params=SMALL), test, FEATURES)
+        for i in range(2)
     ]
     return v.rounded(metrics.ensemble_mean(scored))
 
@@ -131,12 +128,11 @@ def v11_evaluate(spark, sf_dir):
     train, test = fraction_split(decided(spark, sf_dir), 0.75, salt="model")
     folder, out = scratch_path(spark, "fold-folders"), scratch_path(spark, "evaluated")
     write_folds(with_fold(train, 2), test, folder, 2)
-    confs = models.parse_models({"features": ["large", "n_lines", "max_flag"], "models": {
-        f"m{i}": {"type": kind, "train_root_dir": f"{folder}/train{i}", "val_root_dir": f"{folder}/val{i}"}
-        for i, kind in enumerate(("lightgbm", "xgboost"))
-    }})
+    settings = [{"maxIter": 10}, {"maxIter": 8, "maxDepth": 2}]
+    ensemble = [
+        (f"m{i}", settings[i], *(spark.read.parquet(f"{folder}/{part}{i}") for part in ("train", "val"))) for i in (0, 1)]
     scores, report = train_and_evaluate(
-        spark, confs, f"{folder}/test", out, params={"lightgbm": {"maxIter": 10}, "xgboost": {"maxIter": 8, "maxDepth": 2}})
+        ensemble, ["large", "n_lines", "max_flag"], spark.read.parquet(f"{folder}/test"), out)
     stored = [spark.read.parquet(f"{out}/scores/m{i}").select("case_id", F.col("score").alias(f"s{i}")) for i in (0, 1)]
     one = F.lit(1).alias("_one")
     told = scores.join(stored[0], "case_id").join(stored[1], "case_id").groupBy(one).agg(

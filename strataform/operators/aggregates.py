@@ -60,8 +60,8 @@ def aggregate(
     """All measures per key.
 
     Without growing measures this is one scan and one shuffle of partial sums.
-    With them, ordinary groups still take that way and hot groups go through
-    value counts, whose buffers do not grow. Both leave NaN out of medians, modes and distinct
+    With them, the groups are counted first (``hot_keys``, a job over the keys); ordinary groups
+    still take that way, and hot groups, if there are any, go through value counts, whose buffers do not grow. Both leave NaN out of medians, modes and distinct
     counts, as if it were null, and take -0.0 for 0.0. ``sizes``: a cheaper frame to count the
     first key in, such as the table that ``df`` joins with something.
     """
@@ -76,6 +76,8 @@ def aggregate(
     light, hot = split_hot(df, keys if sizes is None else keys[:1], hot_rows, sizes)
     names = [*keys, *[m.name for m in measures]]
     done = _one_pass(light, keys, measures)
+    if hot is None:
+        return done
     return done.union(_hot_groups(hot, keys, measures).select(*names))
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
@@ -122,33 +121,6 @@ def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
     return model, json.loads(rows[0]["value"])
 
 
-@dataclass(frozen=True)
-class ModelConf:
-    """One model of an ensemble, with its own fold folders."""
-
-    name: str
-    kind: str
-    features: tuple[str, ...]
-    train_dir: str
-    validation_dir: str
-
-
-def parse_models(conf: Mapping) -> list[ModelConf]:
-    """Model list with one shared feature list; unnamed kinds count as catboost."""
-    if "features" not in conf:
-        raise ValueError("no features given")
-    out = []
-    for name, entry in conf["models"].items():
-        for need in ("train_root_dir", "val_root_dir"):
-            if need not in entry:
-                raise ValueError(f"{name}: no {need} given")
-        kind = entry["type"] if entry["type"] in ("xgboost", "lightgbm") else "catboost"
-        out.append(ModelConf(
-            name, kind, tuple(conf["features"]), entry["train_root_dir"], entry["val_root_dir"]
-        ))
-    return out
-
-
 def sampled_grid(space: Mapping[str, Sequence], trials: int, seed: int = 42) -> list[dict]:
     """V9: distinct parameter sets drawn from a grid."""
     import itertools

@@ -44,7 +44,8 @@ def back_fill(
 
     NaN counts as missing. Ordinary groups are one window each. Hot groups, or a table
     without groups, are cut into spans of the order axis: a null looks ahead inside its
-    span, then takes the first value of the next span that has one.
+    span, then takes the first value of the next span that has one. Which span that is, is found
+    by a tree of spans: a window holds the children of one node, and no window holds all spans.
     """
     by, columns = list(by), list(columns)
     floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
@@ -60,7 +61,7 @@ def back_fill(
         F.first(c, ignorenulls=True).over(ahead).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
-    return done.unionByName(_back_fill_spans(hot, columns, order, by, span))
+    return done if hot is None else done.unionByName(_back_fill_spans(hot, columns, order, by, span))
 
 
 def fill_by_type(
@@ -77,22 +78,53 @@ def fill_by_type(
     return filled.fillna(text, texts) if texts else filled
 
 
+FAN = 1000  # spans under one node of the tree
+
+
+def _same(names: Sequence[str], others: Sequence[str]):
+    same = F.lit(True)
+    for one, other in zip(names, others):
+        same = same & F.col(one).eqNullSafe(F.col(other))
+    return same
+
+
+def _values_after(firsts: DataFrame, by: list[str], slots: list[str], top: int) -> DataFrame:
+    """``firsts(by, _span, slots)`` with each slot's next value from later spans of its group; ``_span`` is 0 to ``top``.
+
+    Spans below one node look ahead among themselves; what they miss comes from the later nodes, by the same rule a
+    level higher, until one node is left.
+    """
+    node = F.floor(F.col("_span") / FAN).cast("long")
+    later = Window.partitionBy(*by, node).orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
+    near = firsts.select(*by, "_span", *[F.first(s, ignorenulls=True).over(later).alias(s) for s in slots])
+    if top < FAN:
+        return near
+    nodes = firsts.groupBy(*by, node.alias("_node")).agg(*[
+        F.min_by(s, F.when(F.col(s).isNotNull(), F.col("_span"))).alias(s) for s in slots])
+    above = _values_after(nodes.withColumnRenamed("_node", "_span"), by, slots, top // FAN)
+    keys = [f"_u{i}" for i in range(len(by) + 1)]
+    above = above.toDF(*keys, *[f"_a{i}" for i in range(len(slots))])
+    marked = near.withColumn("_node", node)
+    return marked.join(above, _same([*by, "_node"], keys), "left").select(
+        *by, "_span", *[F.coalesce(s, f"_a{i}").alias(s) for i, s in enumerate(slots)])
+
+
 def _back_fill_spans(
     df: DataFrame, columns: list[str], order: str, by: list[str], span: int
 ) -> DataFrame:
-    cut = df.withColumn("_span", F.floor(F.col(order) / span))
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:  # no rows, or no order
+        low = high = 0
+    # nulls of the order come first, as they sort
+    cut = df.withColumn("_span", F.coalesce(
+        F.floor((F.col(order).cast("decimal(20,0)") - low) / span).cast("long") + 1, F.lit(0)).cast("long"))
     firsts = cut.groupBy(*by, "_span").agg(*[
-        F.min_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(f"_f{i}")
+        F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(order))).alias(f"_f{i}")
         for i, c in enumerate(columns)
     ])
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    later = group.orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
-    nexts = firsts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*by, "_span"])], *[
-        F.first(f"_f{i}", ignorenulls=True).over(later).alias(f"_n{i}") for i in range(len(columns))
-    ])
-    same = F.lit(True)
-    for i, k in enumerate([*by, "_span"]):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    keys = [f"_k{i}" for i in range(len(by) + 1)]
+    nexts = _values_after(firsts, by, [f"_f{i}" for i in range(len(columns))], (high - low) // span + 1).toDF(
+        *keys, *[f"_n{i}" for i in range(len(columns))])
     ahead = (
         Window.partitionBy(*by, "_span").orderBy(order)
         .rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -101,7 +133,7 @@ def _back_fill_spans(
         c: F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(f"_n{i}"))
         for i, c in enumerate(columns)
     }
-    joined = cut.join(nexts, same, "left")
+    joined = cut.join(nexts, _same([*by, "_span"], keys), "left")
     return joined.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
 
 
@@ -117,6 +149,8 @@ def row_positions(
     light, hot = split_hot(df, by, hot_rows)
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
     numbered = light.withColumn(name, place.cast("long"))
+    if hot is None:
+        return numbered
 
     cut = hot.withColumn("_block", block)
     sizes = cut.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_m"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform import rules
@@ -32,32 +32,29 @@ def evaluation(scored: DataFrame, name: str, label: str = "target", week: str =
 
 
 def train_and_evaluate(
-    spark: SparkSession, confs: Sequence[models.ModelConf], test_dir: str, out_dir: str, label: str = "target",
-    week: str = "WEEK_NUM", key: str = rules.KEY, params: Mapping[str, Mapping] | None = None,
+    ensemble: Sequence[tuple[str, Mapping, DataFrame, DataFrame]], features: Sequence[str], test: DataFrame, out_dir: str,
+    label: str = "target", week: str = "WEEK_NUM", key: str = rules.KEY,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(scores, report)`` of an ensemble whose models have their own train and validation folders.
+    """``(scores, report)`` of an ensemble of models ``(name, tree settings, train, validation)``.
 
-    Each model reads its folders, stops early on its validation rows, scores the test rows and is
-    saved below ``out_dir/models``; its scores stay in ``out_dir/scores``. ``params`` gives the tree
-    settings of each kind of model. The ensemble's score is the mean. ``scores`` has key, week, label
+    Each model stops early on its validation rows, scores the test rows and is
+    saved below ``out_dir/models``; its scores stay in ``out_dir/scores``. The ensemble's score is the mean. ``scores`` has key, week, label
     and score; ``report`` has one row per model and one for the ensemble, which are also written as
     CSV, as are the ensemble's AUC by week and its scores.
     """
-    if not confs:
-        raise ValueError("no models given")
-    if len({c.name for c in confs}) < len(confs):
-        raise ValueError("two models have one name")
-    test = spark.read.parquet(test_dir)
+    names = [name for name, *_ in ensemble]
+    if not names or len(set(names)) < len(names):
+        raise ValueError(f"an ensemble needs models of different names, not {names}")
+    features = list(features)
+    spark = test.sparkSession
     frames, reports = [], []
-    for conf in confs:
-        wanted = [*conf.features, label]
-        train, held = (spark.read.parquet(d).select(*wanted) for d in (conf.train_dir, conf.validation_dir))
-        model = models.train_trees(train, conf.features, label, held, (params or {}).get(conf.kind))
-        path = f"{out_dir}/scores/{conf.name}"
-        models.score_frame(model, test, conf.features, [key, week, label]).write.mode("overwrite").parquet(path)
+    for name, settings, train, held in ensemble:
+        model = models.train_trees(train.select(*features, label), features, label, held.select(*features, label), settings)
+        path = f"{out_dir}/scores/{name}"
+        models.score_frame(model, test, features, [key, week, label]).write.mode("overwrite").parquet(path)
         frames.append(spark.read.parquet(path))
-        reports.append(evaluation(frames[-1], conf.name, label, week))
-        models.save_model(model, {}, conf.features, f"{out_dir}/models/{conf.name}")
+        reports.append(evaluation(frames[-1], name, label, week))
+        models.save_model(model, {}, features, f"{out_dir}/models/{name}")
     mean = metrics.ensemble_mean(frames, key)
     scores = materialise(test.select(key, week, label).join(mean, key, "left"), "ensemble")
     report = reports[0]

@@ -12,6 +12,7 @@ from strataform import rules
 from strataform.functions.naming import feature_name
 from strataform.operators import aggregates as agg, binning, encode, joins, metrics, models, profile, projections as p, setops, splits
 from strataform.plans import definition as d, generator as g
+from strataform.plans.training import train_and_evaluate
 from strataform.sources.catalog import Catalog, TopicFile
 
 
@@ -330,13 +331,11 @@ def test_catalog_refuses(spark, tmp_path):
         rules.check_topic("unheard")
 
 
-def test_model_list():
-    conf = {"features": ["a"], "models": {"m": {"type": "tree", "train_root_dir": "t", "val_root_dir": "v"}}}
-    assert models.parse_models(conf)[0].kind == "catboost"
-    with pytest.raises(ValueError):
-        models.parse_models({"models": {}})
-    with pytest.raises(ValueError):
-        models.parse_models({"features": [], "models": {"m": {"type": "x", "train_root_dir": "t"}}})
+def test_ensembles_need_different_names(spark, tmp_path):
+    df = spark.range(3)
+    for ensemble in ([], [("m", {}, df, df), ("m", {}, df, df)]):
+        with pytest.raises(ValueError):
+            train_and_evaluate(ensemble, ["id"], df, str(tmp_path))
 
 
 def test_correlated_columns_may_be_dropped_by_dropped_ones(spark):

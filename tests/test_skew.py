@@ -85,6 +85,48 @@ def test_back_fill_without_groups(spark):
     assert got == [float(-(-i // 5) * 5) if i <= 50 else None for i in range(53)]
 
 
+@pytest.mark.parametrize("fan", [2, 3, 1000])
+def test_back_fill_by_a_tree_of_spans(spark, monkeypatch, fan):
+    """Gaps longer than a span and than a node, negative and null orders, groups and none."""
+    from strataform.operators import windows
+
+    monkeypatch.setattr(windows, "FAN", fan)
+    random.seed(fan)
+    made = [(k, g, random.random() if random.random() < 0.04 else None) for g in ("a", None, "b") for k in random.sample(range(-400, 400), 250)]
+    df = spark.createDataFrame([*made, (None, "a", None)], "k long, g string, x double")
+    window = Window.partitionBy("g").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
+    want = df.withColumn("x", F.first("x", ignorenulls=True).over(window))
+    same(back_fill(df, ["x"], "k", ["g"], span=7, hot_rows=0), want)
+    one = df.where("g = 'a'")
+    filled = back_fill(one, ["x"], "k", span=7)
+    same(filled, one.withColumn("x", F.first("x", ignorenulls=True).over(Window.orderBy("k").rowsBetween(0, Window.unboundedFollowing))))
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "Window" in plan
+    same(back_fill(one.where("false"), ["x"], "k", span=7), one.where("false"))
+
+
+def test_hot_keys_share_a_bucket_with_others(spark, monkeypatch):
+    from strataform.operators import skew
+
+    df = spark.range(3000).select(F.when(F.col("id") < 1000, "hot").when(F.col("id") < 1800, None).otherwise(F.col("id").cast("string")).alias("k"))
+    for buckets in (1, 2, 1 << 20):
+        monkeypatch.setattr(skew, "BUCKETS", buckets)
+        assert sorted((r["k"] for r in skew.hot_keys(df, ["k"], 500).collect()), key=str) == [None, "hot"]
+        assert skew.hot_keys(df, ["k"], 1000) is None
+        light, hot = split_hot(df, ["k"], 1000)
+        assert light is df and hot is None
+
+
+@pytest.mark.parametrize("name, most", [
+    ("a11_suffix_aggregate", 3), ("a17_contract_aggregate", 10), ("a18_generated_features", 6), ("w4_back_fill", 3),
+    ("r2_flatten_nested", 19), ("r3_flatten_stacked", 19), ("r7_suffix_matrix", 19)])
+def test_plans_scan_their_tables_few_times(spark, name, most):
+    from battery import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Relation [") <= most, plan.count("Relation [")
+
+
 def test_hot_positions(rows):
     known = rows.where("case_id IS NOT NULL").drop("num_group1").dropDuplicates(["case_id", "price_A"]).where("price_A IS NOT NULL")
     plain = row_positions(known, ["case_id"], ["price_A"], value_block(F.col("price_A")), "at")
