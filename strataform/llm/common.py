@@ -9,6 +9,18 @@ from pyspark.sql import functions as F
 
 from strataform.session import shared_dir
 
+_HELD: dict = {}
+
+
+def held(name, make):
+    """What a Python worker keeps from task to task: one thing at a time, so that the caches of the steps of a job that
+    use one worker do not add up."""
+    if name not in _HELD:
+        _HELD.clear()
+        _HELD[name] = make()
+    return _HELD[name]
+
+
 WORD_SPACE = " \t\n\x0b\x0c\r"  # the bytes that separate words: 0x20 and 0x09-0x0D
 
 

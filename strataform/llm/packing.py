@@ -6,19 +6,21 @@ import bisect
 import random
 import string
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.chunks import TextEncoder, batched
-from strataform.llm.common import stored
+from strataform.llm.common import held, stored
 
 
-@lru_cache(maxsize=2)
 def library_encoder(path: str, width: int = 4) -> TextEncoder:
-    """The tokenizer of a file, piece by piece; ids as little-endian integers of ``width`` bytes."""
+    """The tokenizer of a file, piece by piece; ids as little-endian integers of ``width`` bytes. One per worker."""
+    return held(("library", path, width), lambda: _library_encoder(path, width))
+
+
+def _library_encoder(path: str, width: int) -> TextEncoder:
     import os
 
     import numpy as np

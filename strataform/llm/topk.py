@@ -156,11 +156,12 @@ def top_k(
                 begin = np.full(n, low, object) if first else np.array(get["low"], object)
                 width = np.full(n, -(-(high - low) // bins), object) if first else np.array(get["width"], object)
                 begin, width = begin.astype(np.int64)[:, None], np.maximum(width.astype(np.int64), 1)[:, None]
-                step = (scores - begin) // width
+                above = scores.view(np.uint64) - begin.view(np.uint64)  # right for scores from begin on, however far
+                step = above // width.astype(np.uint64)
                 inside = other & (scores >= begin) & (step < bins)
                 if not first:  # not what stands above the range: it has been counted off
-                    inside &= scores - begin < np.array(get["span"], np.int64)[:, None]
-                flat = (np.arange(n)[:, None] * bins + np.where(inside, step, 0))[inside]
+                    inside &= above < np.array(get["span"], np.uint64)[:, None]
+                flat = (np.arange(n)[:, None] * bins + np.where(inside, step, 0).astype(np.int64))[inside]
                 got = np.bincount(flat, minlength=n * bins).reshape(n, bins)
                 old = sums.get(get["q_block"])
                 sums[get["q_block"]] = got if old is None else old + got
@@ -188,7 +189,8 @@ def top_k(
         # fewer than k candidates in all: everything from the least score on is wanted
         narrowed = chosen.select(
             "q_block", "place",
-            F.when(F.col("hit").isNull(), F.col("low")).otherwise(F.col("low") + F.col("hit.bin") * F.col("width")).alias("low"),
+            F.when(F.col("hit").isNull(), F.col("low")).otherwise(
+                F.col("low") + F.col("hit.bin").cast("decimal(20,0)") * F.col("width")).cast("long").alias("low"),
             F.greatest(F.lit(1), F.ceil(F.col("width") / bins)).cast("long").alias("width"), F.col("width").alias("span"),
             F.when(F.col("hit").isNull(), F.col("want")).otherwise(
                 F.col("want") - (F.col("hit.to_here") - F.col("hit.n"))).alias("want"),

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.common import stored
+from strataform.llm.common import held, stored
 
 ORDER = 5
 BEGIN, END = "\x02", "\x03"
@@ -288,15 +288,9 @@ def measure(df: DataFrame, text: str, model) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
 
 
-_KEPT: dict[str, _Ratios] = {}
-
-
 def _kept_ratios(number: str, model) -> _Ratios:
-    """The worker's cache for a model; one model at a time."""
-    if number not in _KEPT:
-        _KEPT.clear()
-        _KEPT[number] = _Ratios(model.value)
-    return _KEPT[number]
+    """The worker's cache for a model."""
+    return held(("ratios", number), lambda: _Ratios(model.value))
 
 
 @dataclass(frozen=True)

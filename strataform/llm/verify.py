@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataform.llm.common import components, discard, stored
+from strataform.llm.common import components, discard, held, stored
 from strataform.llm.simhash import _SEED
 
 #: Up to this many row marks are broadcast to choose the texts that are read again; more are joined by a shuffle.
@@ -257,18 +257,18 @@ def _apart(met: DataFrame, nodes: DataFrame, groups: DataFrame, near: Near, chun
             if held:
                 yield _links(one, two)
 
-        held, name = [], None
+        rows_, name = [], None
         for batch in batches:
             for begin in range(0, batch.num_rows, 1024):
                 for row in batch.slice(begin, 1024).to_pylist():
                     now = tuple(row[c] for c in block)
-                    if now != name and held:
-                        yield from pairs(held)
-                        held = []
+                    if now != name and rows_:
+                        yield from pairs(rows_)
+                        rows_ = []
                     name = now
-                    held.append(row)
-        if held:
-            yield from pairs(held)
+                    rows_.append(row)
+        if rows_:
+            yield from pairs(rows_)
 
     blocks = asked.unionByName(asking).join(nodes.select("id", "size", "bits", "prints"), "id")
     return blocks.repartition(*block).sortWithinPartitions(*block).mapInArrow(run, "a long, b long").distinct()
@@ -319,6 +319,7 @@ def described(rows: DataFrame, shingle: int, prints=None, signatures=None) -> Da
         import numpy as np
         import xxhash
 
+        held("sets", dict)  # lets go of what other steps kept in this worker
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)

@@ -152,3 +152,20 @@ def test_a_family_of_five_thousand(spark):
         made.append(" ".join(text))
     df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(8)
     assert {r.component_id for r in similar(df, "doc_id", "text").collect()} == {0}
+
+
+@pytest.mark.parametrize("size", [1e7, 4e6, 1e5, 3e8])
+def test_top_k_of_large_components(spark, size):
+    """Scores up to the ends of a long; beyond them they are held there."""
+    from strataform.llm.topk import top_k
+
+    rng = np.random.default_rng(8)
+    data = [[float(v) for v in row] for row in rng.uniform(-size, size, (120, 8))]
+    df = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>").repartition(3)
+    x = [[int(np.floor(256 * v)) for v in row] for row in data]
+    low, high = -(1 << 63), (1 << 63) - 1
+    want = set()
+    for q in range(0, 120, 50):
+        scores = sorted((-min(high, max(low, sum(a * b for a, b in zip(x[q], x[i])))), i) for i in range(120) if i != q)
+        want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:5])}
+    assert set(map(tuple, top_k(df, "vec_id", "embedding").collect())) == want
