@@ -107,8 +107,10 @@ def similar(
         F.expr(f"transform({_ball(segment, n)}, k -> struct(k AS key, w{(segment[0] + 1) % words} AS check))")
         for n, segment in enumerate(segments)]
     entries = unpacked.select("id", F.explode(F.flatten(F.array(*filed))).alias("entry"))
+    # Tasks of about a million rows, whose sort takes some 60 MB; more rows a task only beyond 2e10 entries.
+    parts = min(20_000, max(1, nodes.count() * sum(bits + 1 for _, _, bits in segments) // 1_000_000))
     met = stored(
-        entries.select("entry.key", "id", "entry.check").repartition("key").sortWithinPartitions("key")
+        entries.select("entry.key", "id", "entry.check").repartition(parts, "key").sortWithinPartitions("key")
         .mapInArrow(_partners(check), "key long, id long"), "shared-keys")
     groups = exact_groups(rows, nodes, met, shingle, Near(part, whole, most), chunk)
     classes = connected(nodes, groups, ["d0", "d1"])

@@ -15,12 +15,13 @@ from strataform.llm.chunks import TextEncoder, batched
 from strataform.llm.common import held, stored
 
 
-def library_encoder(path: str, width: int = 4) -> TextEncoder:
-    """The tokenizer of a file, piece by piece; ids as little-endian integers of ``width`` bytes. One per worker."""
-    return held(("library", path, width), lambda: _library_encoder(path, width))
+def library_encoder(path: str, width: int = 4, cached: int = 500_000) -> TextEncoder:
+    """The tokenizer of a file, piece by piece; ids as little-endian integers of ``width`` bytes. One per worker, with
+    two generations of ``cached`` pieces."""
+    return held(("library", path, width, cached), lambda: _library_encoder(path, width, cached))
 
 
-def _library_encoder(path: str, width: int) -> TextEncoder:
+def _library_encoder(path: str, width: int, cached: int) -> TextEncoder:
     import os
 
     import numpy as np
@@ -67,7 +68,7 @@ def _library_encoder(path: str, width: int) -> TextEncoder:
         return [coded[b:e] for b, e in zip(begins, begins[1:])]
 
     specials = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-    return TextEncoder(ids, b"".join, specials, ids, most=500_000, encode_many=many)
+    return TextEncoder(ids, b"".join, specials, ids, most=cached, encode_many=many)
 
 
 def encoded(encoder: TextEncoder, texts: pa.Array, width: int = 4, block_bytes: int = 8_000_000) -> Iterator[bytes]:
@@ -83,16 +84,17 @@ def encoded(encoder: TextEncoder, texts: pa.Array, width: int = 4, block_bytes:
             yield from encoder.encode_block(texts.slice(begin, end - begin), width)
 
 
-def token_pieces(df: DataFrame, key: str, text: str, path: str, end_id: int, most: int) -> DataFrame:
+def token_pieces(df: DataFrame, key: str, text: str, path: str, end_id: int, most: int, cached: int = 500_000) -> DataFrame:
     """``key, piece, start, length, ids`` of each row's ids and ``end_id``, cut after every ``most`` ids.
 
     ``ids``: little-endian unsigned 32-bit. A null text is an empty one: its one piece is the end id.
+    ``cached`` bounds what a worker keeps; it changes time, never a result.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
 
     def run(batches):
-        encoder, end, step = library_encoder(path), end_id.to_bytes(4, "little"), 4 * most
+        encoder, end, step = library_encoder(path, cached=cached), end_id.to_bytes(4, "little"), 4 * most
 
         def cut(batch):
             for value, ids in zip(batch.column("key"), encoded(encoder, batch.column("text"))):
