@@ -21,6 +21,16 @@ NEAR = (4, 5)
 ORACLE_SQL = None  # models are fitted in two stages; tests/llm/test_pipeline.py compares with brute force
 
 
+#: Rows of a batch that tasks send to Python: whole texts are long, and several copies of a batch are in memory at once.
+BATCH_ROWS = 2500
+
+
+def table_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """An input table, in a session whose batches have ``BATCH_ROWS`` rows from here on (its other settings stay)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return table(spark, sf_dir, name)
+
+
 def carried(docs: DataFrame) -> DataFrame:
     """``doc_id, text`` and all other columns in one, so that no name meets one that an operator makes."""
     others = [F.col(f"`{c}`").alias(f"c{n}") for n, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
@@ -35,14 +45,14 @@ def given_back(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the letter models do not call toxic."""
-    scored = score_toxicity(carried(docs), table(spark, sf_dir, "labels"))
+    scored = score_toxicity(carried(docs), table_of(spark, sf_dir, "labels"))
     return given_back(scored.where("predicted = 0"), docs)
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base check and no learned rule rejects."""
     judged = stored(features(text_statistics(carried(docs))), "statistics")  # read twice: to learn, then to judge
-    rules = fit_quality(judged.select("doc_id", "stats"), table(spark, sf_dir, "labels"))
+    rules = fit_quality(judged.select("doc_id", "stats"), table_of(spark, sf_dir, "labels"))
     kept = judged.where(~base_failed()).where(decision(rules).isNull())
     return given_back(kept, docs)
 
@@ -66,7 +76,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its sequence and its place there."""
-    pieces = token_pieces(docs, "doc_id", "text", tokenizer("word_bpe_49k.json"), end_id=1, most=4096)
+    pieces = token_pieces(docs, "doc_id", "text", tokenizer("word_bpe_49k.json"), end_id=1, most=4096, cached=200_000)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "length", room=4096)
 
 
@@ -78,7 +88,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are stored in the shared folder."""
-    docs = table(spark, sf_dir, "documents")
+    docs = table_of(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
