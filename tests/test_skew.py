@@ -1,13 +1,16 @@
 """Hot groups take another way; the results must be the same."""
 
+import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strataform import rules
-from strataform.functions.order_stats import exact_quantiles, long_values, running_before, value_block
+from strataform.functions import order_stats
+from strataform.functions.order_stats import exact_quantiles, long_values, order_key, running_before, value_block
 from strataform.operators.aggregates import Measure, aggregate, suffix_aggregate
 from strataform.operators.skew import split_hot
 from strataform.operators.windows import back_fill, row_positions
@@ -190,3 +193,70 @@ def test_nan_and_signed_zero_count_alike(spark):
         got = aggregate(rows, ["case_id"], measures, hot_rows).collect()
         assert {r["case_id"]: tuple(r)[1:] for r in got} == want
         assert all("-" not in str(r["top"]) for r in got)
+
+
+ENDS = [
+    0.0, -0.0, 5e-324, -5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, math.inf, -math.inf,
+    1.0, math.nextafter(1.0, 0), math.nextafter(1.0, 2), 1024.0, math.nextafter(1024.0, 0), 0.1, 1e9 + 0.25, -3.5,
+]
+
+
+def test_order_keys_are_the_bits_of_a_double(spark):
+    values = ENDS + [random.Random(i).uniform(-1, 1) * 10.0 ** random.Random(-i).randint(-320, 300) for i in range(2000)]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double")
+    for row in df.select("i", order_key(F.col("x")).alias("key")).collect():
+        bits = struct.unpack("<q", struct.pack("<d", abs(values[row["i"]])))[0]
+        assert row["key"] == (-bits if values[row["i"]] < 0 else bits), values[row["i"]]
+
+
+def crowded(spark, count=6000):
+    """All values in one block of the first level, those of group 1 in one of the second; a group has a third of the rows."""
+    place, wide, close = F.col("id") * 7919 % 50000, 2.0 ** -27, 2.0 ** -50
+    frame = spark.range(count).withColumn("k", F.when(F.col("id") % 3 != 0, F.col("id") % 4))
+    step = F.when(F.col("k") == 1, close).otherwise(wide)
+    return frame.select("k", (F.lit(1.0) + F.when(F.col("id") % 5 == 0, 7 * step).otherwise(place * step)).alias("v"))
+
+
+@pytest.mark.parametrize("few", [True, False])
+@pytest.mark.parametrize("limit", [1, 50, 10 ** 6])
+def test_quantiles_of_values_in_one_block(spark, few, limit):
+    df = crowded(spark)
+    assert df.select(value_block(F.col("v"))).distinct().count() == 1
+    probs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    got = exact_quantiles(df, ["k"], probs, value="v", few_groups=few, block_rows=limit)
+    want = {r["k"]: r["p"] for r in df.groupBy("k").agg(F.percentile("v", probs).alias("p")).collect()}
+    rows = got.collect()
+    assert {r["k"] for r in rows} == set(want)
+    for r in rows:
+        assert [r[f"q{i}"] for i in range(5)] == pytest.approx(want[r["k"]], rel=1e-15)
+
+
+def test_no_window_passes_the_limit(spark, monkeypatch):
+    """Of 2000 rows in one block, the last windows hold blocks of at most 50 rows, or of one value."""
+    sizes = []
+    made = order_stats._before
+
+    def spied(weight, order, by):
+        if order == "_v":
+            sizes.append(tuple(by))
+        return made(weight, order, by)
+
+    monkeypatch.setattr(order_stats, "_before", spied)
+    df = crowded(spark).where("k IS NULL").drop("k")
+    out = exact_quantiles(df, [], [0.25, 0.5], value="v", block_rows=50)
+    assert sizes == [("_key", "_level", "_block")]
+    blocks = [df.groupBy(value_block(F.col("v"), level).alias("b")).count().agg(F.max("count")).first()[0] for level in (0, 1)]
+    assert blocks[0] == df.count() and blocks[1] <= max(50, df.groupBy("v").count().agg(F.max("count")).first()[0])
+    assert out.first()["q1"] == df.agg(F.median("v")).first()[0]
+
+
+@pytest.mark.parametrize("limit", [1, 50, 10 ** 6])
+def test_ranks_of_values_in_one_block(spark, limit):
+    counts = crowded(spark).groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    got = running_before(counts, ["k"], "v", ["n"], block_rows=limit)
+    window = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    want = counts.withColumn("before_n", F.coalesce(F.sum("n").over(window), F.lit(0)))
+    same(got, want, ("k", "v"))
+    parts = order_stats._cut(counts, ["k"], "v", ["n"], limit).where("_key.k IS NULL OR _key.k <> 1")
+    most = parts.groupBy("_key", "_block", "_part").count().agg(F.max("count")).first()[0]
+    assert most == 1 if limit < 1000 else most > 400
