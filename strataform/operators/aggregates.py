@@ -320,6 +320,21 @@ def target_means(df: DataFrame, column: str, label: str = "target") -> DataFrame
     )
 
 
+def as_category(df: DataFrame, column: str) -> Column:
+    """A category as text; both zeros of a floating-point column are one."""
+    value = F.col(quoted(column))
+    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+        value = value + F.lit(0.0)
+    return value.cast("string")
+
+
+def all_target_means(df: DataFrame, columns: Sequence[str], label: str = "target") -> DataFrame:
+    """A35 for many columns: ``col, value, encoded`` from one scan and one aggregate that combines on the map side."""
+    texts = df.select(F.col(quoted(label)).alias("_label"), *[as_category(df, c).alias(c) for c in columns])
+    long = texts.unpivot(["_label"], [quoted(c) for c in columns], "col", "value").where("value IS NOT NULL")
+    return long.groupBy("col", "value").agg(F.coalesce(F.avg("_label"), F.lit(0.0)).alias("encoded"))
+
+
 def correlation(
     df: DataFrame, columns: Sequence[str] | None = None, pairs_per_scan: int = 1000
 ) -> DataFrame:

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from strataform.functions.columns import quoted
 from strataform.functions.order_stats import exact_quantiles, long_values
-from strataform.operators.aggregates import target_means
+from strataform.operators.aggregates import all_target_means, as_category
+from strataform.session import scratch_path
 
 # Known transformation types and the properties each one needs.
 REQUIRED_PROPERTIES = {
@@ -86,10 +87,11 @@ def apply_spec(df: DataFrame, spec: Mapping) -> DataFrame:
     for column, entry in spec.items():
         if entry["type"] == "target_encoding" and column in df.columns:
             prop = entry["properties"]
-            kind = df.schema[column].dataType.simpleString()
-            pairs = [(v, float(e)) for v, e in zip(prop["value"], prop["encoded"])]
-            means = spark.createDataFrame(pairs, f"value {kind}, encoded double")
-            df = target_encode(df, column, means)
+            pairs = [(str(v), float(e)) for v, e in zip(prop["value"], prop["encoded"])]
+            means = spark.createDataFrame(pairs, "value string, encoded double")
+            if prop.get("table"):
+                means = spark.read.parquet(prop["table"]).where(F.col("col") == column).select("value", "encoded")
+            df = target_encode(df.withColumn(column, as_category(df, column)), column, means)
     out: list[Column] = []
     tail: list[Column] = []
     for column in df.columns:
@@ -144,7 +146,9 @@ def derive_spec(
     """Raw for continuous and categorical for the others.
 
     ``detailed``: decile binning for a skewed column with nine different edges, else
-    standardisation; target means for text with two values or more, else one-hot.
+    standardisation; target means for text with two values or more, else one-hot. The means of all
+    categories come from one aggregate; a column of more than ``MAX_CATEGORIES`` values is not listed in the
+    spec, which then names the stored table (col, value, encoded) in place of values.
     """
     if not detailed:
         return {
@@ -160,12 +164,21 @@ def derive_spec(
             else:
                 prop = {"mean": row["mean"], "stddev": row["stddev"]}
                 spec[row["col"]] = {"type": "standardization", "properties": prop}
+    if not categorical:
+        return spec
+    path = scratch_path(df.sparkSession, "target-means")
+    all_target_means(df.where(F.col(label).isNotNull()), categorical, label).write.parquet(path)
+    stored = df.sparkSession.read.parquet(path)
+    sizes = {r["col"]: r["count"] for r in stored.groupBy("col").count().collect()}
+    listed = [c for c in categorical if sizes.get(c, 0) <= MAX_CATEGORIES]
+    found: dict = {c: {} for c in listed}
+    for row in stored.where(F.col("col").isin(listed)).collect():
+        found[row["col"]][row["value"]] = float(row["encoded"])
     for column in categorical:
-        known = df.where(F.col(column).isNotNull() & F.col(label).isNotNull())
-        rows = target_means(known, column, label).limit(MAX_CATEGORIES + 1).collect()
-        if len(rows) > MAX_CATEGORIES:
-            raise ValueError(f"{column} has more than {MAX_CATEGORIES} values; use target_encode")
-        means = {r[column]: float(r["encoded"]) for r in rows}
+        if column not in found:
+            spec[column] = {"type": "target_encoding", "properties": {"value": [], "encoded": [], "table": path}}
+            continue
+        means = found[column]
         values = [*sorted(means), "NA"]
         if len(values) >= 3:
             encoded = [*[means[v] for v in sorted(means)], 0.0]

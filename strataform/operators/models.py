@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strataform import rules
-from strataform.functions.columns import columns_of, key_bucket
+from strataform.functions.columns import columns_of, key_bucket, quoted
 from strataform.operators import metrics
-from strataform.operators.aggregates import class_ratio, target_means
+from strataform.operators.aggregates import all_target_means, as_category, class_ratio
 from strataform.operators.encode import MAX_CATEGORIES, target_encode
 from strataform.session import materialise
 
@@ -170,8 +170,12 @@ def correlated_columns(
     column with missing values has no correlation. One pass for any number of columns;
     the driver gets the matrix of columns by columns.
     """
-    for c in categorical:
-        df = target_encode(df, c, target_means(df, c, label))
+    if categorical:
+        # One stored table of all means: a join per column reads it, and none reads the frame again.
+        means = materialise(all_target_means(df, categorical, label), "target-means")
+        df = df.select(*[as_category(df, c).alias(c) if c in categorical else F.col(quoted(c)) for c in df.columns])
+        for c in categorical:
+            df = target_encode(df, c, means.where(F.col("col") == c).select("value", "encoded"))
     order = [*continuous, *categorical]
     if len(order) < 2:
         return []
