@@ -149,8 +149,8 @@ def s14(spark, sf_dir):
 
 @query("s15_fold_output", """
 WITH b AS (SELECT case_id, ('0x' || substr(md5(CAST(case_id AS VARCHAR)), 1, 8))::BIGINT % 10000 < 8000 AS is_train FROM fx_base)
-SELECT 'test' AS role, count(*) AS rows FROM b WHERE NOT is_train UNION ALL
-SELECT 'train', 2 * count(*) FROM b WHERE is_train UNION ALL SELECT 'val', count(*) FROM b WHERE is_train""", "fx_base")
+SELECT case_id, 'test' AS role, 1 AS copies FROM b WHERE NOT is_train UNION ALL
+SELECT case_id, 'train', 2 FROM b WHERE is_train UNION ALL SELECT case_id, 'val', 1 FROM b WHERE is_train""", "fx_base")
 def s15(spark, sf_dir):
     path = scratch_path(spark, "folds")
     train, test = splits.fraction_split(v.base(spark, sf_dir).select("case_id", "WEEK_NUM", "target"), 0.8)
@@ -158,9 +158,9 @@ def s15(spark, sf_dir):
     named = [("test", "test"), *[(f"{r}{i}", r) for r in ("train", "val") for i in range(3)]]
     out = None
     for folder, role in named:
-        part = spark.read.parquet(f"{path}/{folder}").select(F.lit(role).alias("role"))
+        part = spark.read.parquet(f"{path}/{folder}").select("case_id", F.lit(role).alias("role"))
         out = part if out is None else out.unionByName(part)
-    return out.groupBy("role").agg(F.count(F.lit(1)).alias("rows"))
+    return out.groupBy("case_id", "role").agg(F.count(F.lit(1)).cast("int").alias("copies"))
 
 
 @query("s16_score_output", "SELECT case_id, round(score, 6) AS score FROM fx_base", "fx_base")

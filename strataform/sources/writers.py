@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform import rules
 from strataform.operators.aggregates import type_aggregate
-from strataform.session import scratch_path
 
 
 def write_sorted(df: DataFrame, path: str, key: str = rules.KEY, files: int = 20) -> None:
@@ -30,16 +31,26 @@ def write_type_aggregate(df: DataFrame, path: str, key: str = rules.KEY) -> None
 def write_folds(train: DataFrame, test: DataFrame, path: str, folds: int, fold: str = "fold") -> None:
     """``train{i}``, ``val{i}`` and ``test`` folders.
 
-    The rows are computed once, into a table partitioned by fold; each folder is then a
-    copy of some of its partitions.
+    One job writes all folders of the folds: each row goes to ``val`` of its own fold and to ``train`` of the
+    others, as partitions of one table that are then given their names (a rename on file systems that have one).
+    Folders without rows hold no files but the schema. Rows without a fold belong to no folder.
     """
     spark = train.sparkSession
-    staged = scratch_path(spark, "folds")
-    train.write.partitionBy(fold).parquet(staged)
-    rows = spark.read.schema(train.schema).parquet(staged)
-    for i in range(folds):
-        rows.where(F.col(fold) != i).drop(fold).write.mode("overwrite").parquet(f"{path}/train{i}")
-        rows.where(F.col(fold) == i).drop(fold).write.mode("overwrite").parquet(f"{path}/val{i}")
+    staged = f"{path}/_folds-{uuid.uuid4().hex}"
+    roles = F.array(*[
+        F.when(F.col(fold) == i, F.lit(f"val{i}")).otherwise(F.lit(f"train{i}")) for i in range(folds)])
+    known = train.where(F.col(fold).isNotNull())
+    known.withColumn("_folder", F.explode(roles)).drop(fold).write.partitionBy("_folder").parquet(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in [f"{role}{i}" for i in range(folds) for role in ("train", "val")]:
+        made, target = hadoop.Path(f"{staged}/_folder={name}"), hadoop.Path(f"{path}/{name}")
+        files.delete(target, True)
+        if not files.exists(made):
+            spark.createDataFrame([], train.drop(fold).schema).write.parquet(f"{path}/{name}")
+        elif not files.rename(made, target):
+            raise OSError(f"cannot name {path}/{name}")
+    files.delete(hadoop.Path(staged), True)
     test.write.mode("overwrite").parquet(f"{path}/test")
 
 
