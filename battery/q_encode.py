@@ -42,13 +42,14 @@ def e2(spark, sf_dir):
 
 @query("e3_target_encoding", """
 SELECT case_id, round(coalesce(m.encoded, 0), 6) AS "priority_M"
-FROM fx_base b LEFT JOIN (SELECT priority_M, avg(target) AS encoded FROM fx_base WHERE MONTH < 199806
-  AND priority_M <> '1-URGENT' GROUP BY priority_M) m ON b.priority_M = m.priority_M""", "fx_base")
+FROM (SELECT case_id, priority_M FROM fx_base UNION ALL SELECT -1 - case_id, priority_M || ' unseen' FROM fx_base) b
+LEFT JOIN (SELECT priority_M, avg(target) AS encoded FROM fx_base GROUP BY priority_M) m ON b.priority_M = m.priority_M""", "fx_base")
 def e3(spark, sf_dir):
     base = v.base(spark, sf_dir)
-    known = base.where("MONTH < 199806 AND priority_M <> '1-URGENT'")
-    means = target_means(known, "priority_M")
-    return v.rounded(e.target_encode(base.select("case_id", "priority_M"), "priority_M", means))
+    rows = base.select("case_id", "priority_M")
+    # each row also with a category that the means do not know
+    strays = rows.select((-1 - F.col("case_id")).alias("case_id"), F.concat("priority_M", F.lit(" unseen")).alias("priority_M"))
+    return v.rounded(e.target_encode(rows.unionByName(strays), "priority_M", target_means(base, "priority_M")))
 
 
 @query("e4_binning", f"SELECT case_id, {QUANTITY_BIN} AS \"quantity_A\" FROM fx_child1", "fx_child1")

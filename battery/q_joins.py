@@ -61,10 +61,13 @@ def j4(spark, sf_dir):
 
 @query("j5_with_decision", """
 SELECT c.case_id, c.num_group1, round(c.price_A, 6) AS "price_A", CAST(b.date_decision AS VARCHAR) AS date_decision, b.target
-FROM fx_child1 c JOIN (SELECT * FROM fx_base WHERE MONTH < 200000) b ON c.case_id = b.case_id""", "fx_base fx_child1")
+FROM (SELECT case_id, num_group1, price_A FROM fx_child1 UNION ALL SELECT -1 - case_id, num_group1, price_A FROM fx_child1) c
+JOIN fx_base b ON c.case_id = b.case_id""", "fx_base fx_child1")
 def j5(spark, sf_dir):
-    early = v.base(spark, sf_dir).where("MONTH < 200000")
-    return v.rounded(j.with_decision(v.child1(spark, sf_dir).select("case_id", "num_group1", "price_A"), early))
+    # each row also under a case that does not exist
+    rows = v.child1(spark, sf_dir).select("case_id", "num_group1", "price_A")
+    strays = rows.withColumn("case_id", -1 - F.col("case_id"))
+    return v.rounded(j.with_decision(rows.unionByName(strays), v.base(spark, sf_dir)))
 
 
 @query("j6_join_batches", """
