@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.common import discard, stored
-from strataform.llm.simhash import Segment, _ball, connected, fingerprint
+from strataform.llm.simhash import Segment, connected, fingerprint
 from strataform.llm.verify import Near, described, exact_groups, set_nodes
 
 #: Ten tables of 25 bits: at a similarity of 0.8 some 15 % of the bits differ, and a segment meets in a quarter of all cases.
@@ -77,9 +77,46 @@ def _partners(most: int, room: int = 1 << 16):
     return run
 
 
+def _filed(unpacked: DataFrame, segments: Sequence[Segment], words: int, nodes: int, crowd: int) -> DataFrame:
+    """``key, id, check``, dealt to tasks by key and sorted by it: each text under its segments and their one-bit neighbours.
+
+    A group is the keys of a table that agree in their upper bits. Only neighbours that fall into another group are sent
+    there; those inside its own group a text gets after the shuffle, so that it is sent 9 times a table and not 26. Tables
+    have more groups as there are more than two million texts. A group of more than ``crowd`` texts is dealt key by
+    key instead, all neighbours being sent.
+    """
+    upper = max(8, (nodes >> 13).bit_length())
+    lower = max(0, min(bits for _, _, bits in segments) - upper)  # bits of a key that its group does not tell
+    filed = []
+    for n, (word, low, bits) in enumerate(segments):
+        own = f"(shiftrightunsigned(w{word}, {low}) & {(1 << bits) - 1}L | {n << 40}L)"
+        check = f"w{(word + 1) % words}"
+        filed.append(f"""concat(array(struct({own} AS key, {check} AS check, true AS home)),
+            transform(sequence({lower}, {bits - 1}), i -> struct({own} ^ shiftleft(1L, i) AS key, {check} AS check, false AS home)))""")
+    around = f"concat(array(key), transform(sequence(0, {lower - 1}), i -> key ^ shiftleft(1L, i)))" if lower else "array(key)"
+    entries = unpacked.select("id", F.explode(F.expr(f"flatten(array({', '.join(filed)}))")).alias("entry")).select(
+        "id", "entry.*", F.expr(f"shiftright(entry.key, {lower})").alias("part"))
+    crowded = stored(
+        entries.where("home").groupBy("part").agg(F.count("*").alias("n")).where(F.col("n") > crowd), "crowded-groups")
+    if not crowded.isEmpty():  # at most 10 * nodes / crowd groups, and never more than there are groups
+        met = entries.join(F.broadcast(crowded), "part", "left")
+        alone = "n IS NOT NULL AND home"
+        entries = met.select(
+            "id", "check", F.explode(F.expr(f"CASE WHEN {alone} THEN {around} ELSE array(key) END")).alias("key"),
+            F.expr(f"home AND NOT ({alone})").alias("home"), "part", "n",
+        ).withColumn("part", F.expr("CASE WHEN n IS NULL THEN part ELSE xxhash64(key) END"))
+    # Tasks of about a million rows, whose sort takes some 60 MB; more rows a task only beyond 2e10 entries.
+    parts = min(20_000, max(1, nodes * sum(bits + 1 for _, _, bits in segments) // 1_000_000))
+    dealt = entries.select("part", "key", "id", "check", "home").repartition(parts, "part")
+    return dealt.select(
+        F.explode(F.expr(f"CASE WHEN home THEN {around} ELSE array(key) END")).alias("key"), "id", "check",
+    ).sortWithinPartitions("key")
+
+
 def similar(
     df: DataFrame, key: str, text: str, shingle: int = 5, part: int = 4, whole: int = 5,
     segments: Sequence[Segment] = TABLES, words: int = 5, most: int = 96, check: int = 20, chunk: int = 1024,
+    crowd: int = 100_000,
 ) -> DataFrame:
     """``key, component_id`` per row: the least key reachable over links between texts' sets of shingles.
 
@@ -103,15 +140,8 @@ def similar(
     word = "conv(hex(substring(prints, {at}, 8)), 16, -10)"  # 64 bits as a signed number
     unpacked = nodes.select("id", *[
         F.expr(word.format(at=8 * n + 1)).cast("long").alias(f"w{n}") for n in range(words)])
-    filed = [
-        F.expr(f"transform({_ball(segment, n)}, k -> struct(k AS key, w{(segment[0] + 1) % words} AS check))")
-        for n, segment in enumerate(segments)]
-    entries = unpacked.select("id", F.explode(F.flatten(F.array(*filed))).alias("entry"))
-    # Tasks of about a million rows, whose sort takes some 60 MB; more rows a task only beyond 2e10 entries.
-    parts = min(20_000, max(1, nodes.count() * sum(bits + 1 for _, _, bits in segments) // 1_000_000))
     met = stored(
-        entries.select("entry.key", "id", "entry.check").repartition(parts, "key").sortWithinPartitions("key")
-        .mapInArrow(_partners(check), "key long, id long"), "shared-keys")
+        _filed(unpacked, segments, words, nodes.count(), crowd).mapInArrow(_partners(check), "key long, id long"), "shared-keys")
     groups = exact_groups(rows, nodes, met, shingle, Near(part, whole, most), chunk)
     classes = connected(nodes, groups, ["d0", "d1"])
     out = sets.select("key", "d0", "d1").join(classes, ["d0", "d1"]).select(F.col("key").alias(key), "component_id")

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from .test_operators import classes, copies_and_others, shingled
 
@@ -127,6 +128,30 @@ def test_near_copies_by_tables(spark, chunk):
     assert similar(df.where("false"), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("crowd", [100_000, 3, 0])
+def test_keys_are_filed_alike_however_groups_are_dealt(spark, crowd):
+    """Each text under its segments and all their one-bit neighbours, once; nothing else; equal keys in one task."""
+    from strataform.llm.near import _filed
+
+    rng = random.Random(8)
+    bits = lambda: rng.getrandbits(64) - (1 << 63)
+    same = (bits(), bits())
+    rows = [(i, *(same if i < 20 else (bits(), bits()))) for i in range(60)]
+    segments = [(0, 0, 12), (0, 32, 12), (1, 40, 14)]
+    df = spark.createDataFrame(rows, "id long, w0 long, w1 long").repartition(3)
+    filed = _filed(df, segments, 2, len(rows), crowd)
+    got = filed.withColumn("task", F.spark_partition_id()).collect()
+    want = []
+    for i, *words in rows:
+        for n, (word, low, size) in enumerate(segments):
+            own = (words[word] % (1 << 64) >> low) % (1 << size)
+            want += [(n << 40 | k, i, words[(word + 1) % 2]) for k in [own, *[own ^ (1 << b) for b in range(size)]]]
+    assert sorted((r.key, r.id, r.check) for r in got) == sorted(want)
+    tasks = {}
+    for r in got:
+        assert tasks.setdefault(r.key, r.task) == r.task
+
+
 def test_long_texts_that_share_one_line_stay_apart(spark):
     from strataform.llm.near import similar
 
