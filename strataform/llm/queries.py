@@ -140,10 +140,10 @@ def op8_genetic_packing(spark, sf_dir):
 
 @query("op9_simhash_components")
 def op9_simhash_components(spark, sf_dir):
-    from strataform.llm.simhash import WHOLE, fingerprints, near_duplicates
+    from strataform.llm.simhash import HALVES, fingerprints, near_duplicates
 
     prints = fingerprints(table(spark, sf_dir, "documents"), "doc_id", "text", shingle=3, words=1)
-    linked = near_duplicates(prints, "doc_id", words=1, segments=WHOLE, most=2)
+    linked = near_duplicates(prints, "doc_id", words=1, segments=HALVES, most=2)
     return linked.select(
         "doc_id", F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 

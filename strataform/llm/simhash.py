@@ -13,6 +13,7 @@ from strataform.llm.common import components, stored
 #: Bits of a fingerprint that one table is keyed by: (64-bit word, lowest bit, number of bits).
 Segment = tuple[int, int, int]
 WHOLE: tuple[Segment, ...] = ((0, 0, 64),)
+HALVES: tuple[Segment, ...] = ((0, 0, 32), (0, 32, 32))
 WIDE: tuple[Segment, ...] = tuple((word, low, 28) for word in range(4) for low in (0, 32))
 _SEED = 42
 

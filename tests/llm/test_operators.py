@@ -396,9 +396,13 @@ def test_fingerprints(spark, docs):
         assert r.w0 & (1 << 64) - 1 == print_of(by[r.doc_id])
 
 
+@pytest.mark.parametrize("tables", ["WHOLE", "HALVES"])
 @pytest.mark.parametrize("chunk", [3, 1024])
-def test_components_of_fingerprints(spark, chunk):
-    from strataform.llm.simhash import WHOLE, near_duplicates
+def test_components_of_fingerprints(spark, chunk, tables):
+    from strataform.llm import simhash
+    from strataform.llm.simhash import near_duplicates
+
+    segments = getattr(simhash, tables)
 
     rng = random.Random(11)
     prints = [rng.getrandbits(64) for _ in range(40)] + [0, 0]
@@ -410,9 +414,9 @@ def test_components_of_fingerprints(spark, chunk):
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(i, signed(x)) for i, x in enumerate(prints)], "doc_id long, w0 long").repartition(3)
     want = classes(range(len(prints)), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 2)
-    got = {r.doc_id: r.component_id for r in near_duplicates(df, "doc_id", 1, WHOLE, 2, chunk=chunk).collect()}
+    got = {r.doc_id: r.component_id for r in near_duplicates(df, "doc_id", 1, segments, 2, chunk=chunk).collect()}
     assert got == want
-    assert near_duplicates(df.where("false"), "doc_id", 1, WHOLE, 2).count() == 0
+    assert near_duplicates(df.where("false"), "doc_id", 1, segments, 2).count() == 0
 
 
 def test_wide_fingerprints_lose_no_guaranteed_link(spark):
