@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -286,8 +285,8 @@ def rate_by(df: DataFrame, by: str, label: str) -> DataFrame:
     groups = df.groupBy(by).agg(
         F.count(label).alias("count"), F.coalesce(F.sum(label), F.lit(0)).cast("long").alias("sum")
     )
-    total = df.agg(F.count(label).alias("_all"))
-    # One row against a month-sized table: the total travels as a scalar subquery.
+    # The total is a sum over the groups, whose exchange it uses again, and travels as a scalar subquery.
+    total = groups.agg(F.sum("count").alias("_all"))
     return groups.select(
         by, "count", "sum", ratio(F.col("sum"), F.col("count")).alias("rate"),
         ratio(F.col("count"), total.scalar()).alias("count_pct"),
@@ -309,7 +308,7 @@ def class_ratio(df: DataFrame, label: str = "target") -> DataFrame:
 def class_weights(df: DataFrame, label: str = "target") -> DataFrame:
     """Rows / (2 * rows of the class)."""
     counts = df.where(F.col(label).isin(0, 1)).groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.where(F.col(label).isin(0, 1)).agg(F.count(F.lit(1)).alias("_all"))
+    total = counts.agg(F.sum("_n").alias("_all"))
     return counts.select(label, ratio(total.scalar(), 2 * F.col("_n")).alias("weight"))
 
 
@@ -335,26 +334,25 @@ def all_target_means(df: DataFrame, columns: Sequence[str], label: str = "target
     return long.groupBy("col", "value").agg(F.coalesce(F.avg("_label"), F.lit(0.0)).alias("encoded"))
 
 
-def correlation(
-    df: DataFrame, columns: Sequence[str] | None = None, pairs_per_scan: int = 1000
-) -> DataFrame:
+def correlation(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlation of all numeric pairs, as rows (x, y, corr) with x before y,
-    each over the rows that have both values.
+    each over the rows that have both values; null where fewer than two rows or a constant decide.
 
-    The pairs are of columns, not of rows: fixed-size buffers, and one scan for each
-    ``pairs_per_scan`` of them, which bounds the size of a generated plan.
+    One scan and one aggregate for any number of columns: a row gives its pairs of present values, two
+    generators inside the task, and co-moments by pair combine on the map side. Buffers and what is
+    shuffled grow with the pairs of columns, not of rows; nulls cost nothing.
     """
     columns = list(columns or columns_of(df, *NUMERIC))
-    pairs = [(x, y) for i, x in enumerate(columns) for y in columns[i + 1:]]
-    if not pairs:
+    width = len(columns)
+    if width < 2:
         raise ValueError("correlation needs two numeric columns")
-    numbers = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    scans = []
-    for at in range(0, len(pairs), pairs_per_scan):
-        some = pairs[at:at + pairs_per_scan]
-        one = numbers.agg(*[F.corr(x, y).alias(f"_c{i}") for i, (x, y) in enumerate(some)])
-        scans.append(one.select(F.inline(F.array(*[
-            F.struct(F.lit(x).alias("x"), F.lit(y).alias("y"), F.col(f"_c{i}").alias("corr"))
-            for i, (x, y) in enumerate(some)
-        ]))))
-    return reduce(DataFrame.union, scans)
+    values = df.select(F.array(*[F.col(quoted(c)).cast("double") for c in columns]).alias("v"))
+    first = values.select("v", F.posexplode("v").alias("i", "a")).where(f"a IS NOT NULL AND i < {width - 1}")
+    both = first.select("i", "a", F.posexplode("v").alias("j", "b")).where("j > i AND b IS NOT NULL")
+    found = both.groupBy("i", "j").agg(F.try_divide(  # F.corr divides by zero on a constant, which ANSI mode refuses
+        F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a")), F.stddev_pop("b")).alias("corr"))
+    pairs = df.sparkSession.range(width - 1).select(
+        F.col("id").cast("int").alias("i"), F.explode(F.sequence(F.col("id").cast("int") + 1, F.lit(width - 1))).alias("j"))
+    name = F.array(*[F.lit(c) for c in columns])
+    return pairs.join(found, ["i", "j"], "left").select(
+        F.get(name, "i").alias("x"), F.get(name, "j").alias("y"), "corr")

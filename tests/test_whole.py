@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataform.operators import encode, models, splits
-from strataform.operators.aggregates import all_target_means, target_means
+from strataform.operators.aggregates import all_target_means, class_weights, correlation, rate_by, target_means
 from strataform.sources.writers import write_folds
 
 
@@ -90,3 +90,47 @@ def test_spec_of_a_column_with_many_values(spark, monkeypatch):
     unseen = df.unionByName(spark.createDataFrame([(1, "new", "new"), (0, None, None)], "t long, wide string, few string"))
     got = encode.apply_spec(unseen, spec).collect()
     assert {(r["t"], r["wide"], r["few"]) for r in got} == {(0, 0.0, 0.0), (1, 1.0, 1.0), (1, 0.0, 0.0)}
+
+
+def test_correlation_of_many_columns_is_one_scan(spark, tmp_path):
+    """312 columns, a third null each, one constant, one null, one with a dot: all pairs as over the rows that have both."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(150, 1))
+    made = pd.DataFrame(base + rng.normal(size=(150, 312)), columns=[f"c{n}" for n in range(312)])
+    made = made.mask(rng.random(made.shape) < 0.33)
+    made["c7"], made["c9"] = 5.0, np.nan
+    made = made.rename(columns={"c311": "c.311"})
+    rows = [[None if np.isnan(x) else float(x) for x in r] for r in made.to_numpy()]
+    spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in made.columns)).repartition(4).write.parquet(f"{tmp_path}/t")
+    out = correlation(spark.read.parquet(f"{tmp_path}/t"))
+    assert out._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 2  # the table, and the list of pairs
+    got = {(r.x, r.y): r["corr"] for r in out.collect()}
+    want = made.corr(min_periods=2)
+    names = list(made.columns)
+    assert list(sorted(got)) == sorted((x, y) for i, x in enumerate(names) for y in names[i + 1:])
+    for (x, y), value in got.items():
+        if {"c7", "c9"} & {x, y}:
+            assert value is None or np.isnan(value)
+        else:
+            assert value == pytest.approx(want.loc[x, y], abs=1e-9)
+
+
+def test_correlation_of_no_rows(spark):
+    empty = spark.createDataFrame([], "a int, b double, c float")
+    assert [tuple(r) for r in correlation(empty).orderBy("x", "y").collect()] == [
+        ("a", "b", None), ("a", "c", None), ("b", "c", None)]
+    with pytest.raises(ValueError):
+        correlation(empty, ["a"])
+
+
+def test_totals_come_from_the_groups(spark):
+    df = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (2, None), (None, 1), (3, None)], "month int, target int")
+    got = {r.month: (r["count"], r["sum"], r["rate"], r["count_pct"]) for r in rate_by(df, "month", "target").collect()}
+    assert got[1] == (2, 1, 0.5, 0.5) and got[2] == (1, 0, 0.0, 0.25) and got[None] == (1, 1, 1.0, 0.25)
+    assert got[3][:2] == (0, 0) and got[3][3] == 0
+    assert rate_by(df.where("false"), "month", "target").count() == 0
+    weights = {r.target: r.weight for r in class_weights(df).collect()}
+    assert weights == {0: 1.0, 1: 1.0} and class_weights(df.where("false")).count() == 0
