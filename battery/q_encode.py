@@ -119,3 +119,14 @@ def e10(spark, sf_dir):
     )
     spec = binning.fit_bin_encoder(rows, ["total_A", "WEEK_NUM"], "target")
     return e.apply_spec(rows.select("case_id", "total_A", "WEEK_NUM"), spec)
+
+
+@query("e10_decided_bins", """
+SELECT case_id, quantity_A AS quantity, CAST(quantity_A >= 30 AS INT) AS code FROM fx_child1""", "fx_child1")
+def e10_decided(spark, sf_dir):
+    # 30 parts the target, but for one case in ten, where it is the other way round: two bins must part there
+    rows = v.child1(spark, sf_dir, False).select(
+        "case_id", F.col("quantity_A").alias("quantity"), F.col("quantity_A").alias("code"),
+        ((F.col("quantity_A") >= 30) != (F.col("case_id") % 10 == 0)).cast("int").alias("target"))
+    spec = binning.fit_bin_encoder(rows, ["code"], "target", parts=100, most=2)
+    return e.apply_spec(rows.select("case_id", "quantity", "code"), spec)

@@ -134,3 +134,32 @@ def test_totals_come_from_the_groups(spark):
     assert rate_by(df.where("false"), "month", "target").count() == 0
     weights = {r.target: r.weight for r in class_weights(df).collect()}
     assert weights == {0: 1.0, 1: 1.0} and class_weights(df.where("false")).count() == 0
+
+
+def test_best_cuts_match_all_ways_to_part():
+    import itertools
+    import math
+
+    from strataform.operators.binning import best_cuts
+
+    rng = random.Random(12)
+    for _ in range(150):
+        counts = [[rng.choice((0, 1, 3, 9, 20)), rng.choice((0, 2, 5, 11))] for _ in range(rng.randint(0, 8))]
+        most, least = rng.randint(1, 5), rng.choice((0, 0.05, 0.3))
+        goods, bads = sum(c[0] for c in counts), sum(c[1] for c in counts)
+
+        def value(cuts):
+            total = 0.0
+            for b, e in itertools.pairwise([0, *cuts, len(counts)]):
+                g, d = sum(c[0] for c in counts[b:e]), sum(c[1] for c in counts[b:e])
+                if not g or not d or g + d < least * (goods + bads):
+                    return None
+                total += (g / goods - d / bads) * math.log(g / goods / (d / bads))
+            return total
+
+        ways = [c for n in range(most) for c in itertools.combinations(range(1, len(counts)), n)]
+        fit = {c: value(c) for c in ways if counts and value(c) is not None}
+        got = tuple(best_cuts(counts, most, least))
+        assert (got in fit and fit[got] == pytest.approx(max(fit.values()))) if fit else got == ()
+    assert best_cuts([[5, 5], [5, 5]], 2, 0.0) == []  # nothing is gained by a cut
+    assert best_cuts([[9, 1], [1, 9], [9, 1]], 2, 0.0) in ([1], [2])
