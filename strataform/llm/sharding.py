@@ -11,9 +11,9 @@ from strataform.llm.common import stored, with_address
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
-    """Greater wins. -w / ln(u), with u in (0, 1) from 53 bits of the hash of key and shard."""
-    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard).cast("int")), 11)
-    return F.lit(float(weight)) / -F.log((bits.cast("double") + 0.5) / float(1 << 53))
+    """Greater wins. -w / ln(u), with u in (0, 1) from 52 bits of the hash (all exact, none rounds to 1) of key and shard."""
+    bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(shard).cast("int")), 12)
+    return F.lit(float(weight)) / -F.log((bits.cast("double") + 0.5) / float(1 << 52))
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
