@@ -32,6 +32,16 @@ def group_back(
     return df.join(groups, by, "left").select(*names)
 
 
+def _next_known(column: str, by: Sequence, order: str, start: int = 0):
+    """The first non-null value of ``column`` from ``start`` rows on in ``order``.
+
+    Read from the far end as the last value so far: a frame that runs to the end of its group is summed up anew
+    for each row, one that starts there is carried along.
+    """
+    back = Window.partitionBy(*by).orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, -start)
+    return F.last(column, ignorenulls=True).over(back)
+
+
 def back_fill(
     df: DataFrame,
     columns: Sequence[str],
@@ -56,9 +66,8 @@ def back_fill(
     if not by:
         return _back_fill_spans(df, columns, order, by, span)
     light, hot = split_hot(df, by, hot_rows)
-    ahead = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.currentRow, Window.unboundedFollowing)
     done = light.select(*[
-        F.first(c, ignorenulls=True).over(ahead).alias(c) if c in columns else F.col(c)
+        _next_known(c, by, order).alias(c) if c in columns else F.col(c)
         for c in df.columns
     ])
     return done if hot is None else done.unionByName(_back_fill_spans(hot, columns, order, by, span))
@@ -95,8 +104,7 @@ def _values_after(firsts: DataFrame, by: list[str], slots: list[str], top: int)
     level higher, until one node is left.
     """
     node = F.floor(F.col("_span") / FAN).cast("long")
-    later = Window.partitionBy(*by, node).orderBy("_span").rowsBetween(1, Window.unboundedFollowing)
-    near = firsts.select(*by, "_span", *[F.first(s, ignorenulls=True).over(later).alias(s) for s in slots])
+    near = firsts.select(*by, "_span", *[_next_known(s, [*by, node], "_span", 1).alias(s) for s in slots])
     if top < FAN:
         return near
     nodes = firsts.groupBy(*by, node.alias("_node")).agg(*[
@@ -125,12 +133,8 @@ def _back_fill_spans(
     keys = [f"_k{i}" for i in range(len(by) + 1)]
     nexts = _values_after(firsts, by, [f"_f{i}" for i in range(len(columns))], (high - low) // span + 1).toDF(
         *keys, *[f"_n{i}" for i in range(len(columns))])
-    ahead = (
-        Window.partitionBy(*by, "_span").orderBy(order)
-        .rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    )
     filled = {
-        c: F.coalesce(F.first(c, ignorenulls=True).over(ahead), F.col(f"_n{i}"))
+        c: F.coalesce(_next_known(c, [*by, "_span"], order), F.col(f"_n{i}"))
         for i, c in enumerate(columns)
     }
     joined = cut.join(nexts, _same([*by, "_span"], keys), "left")

@@ -130,6 +130,17 @@ def test_plans_scan_their_tables_few_times(spark, name, most):
     assert 0 < plan.count("Relation [") <= most, plan.count("Relation [")
 
 
+@pytest.mark.parametrize("by, hot", [([], 1), (["g"], 10 ** 6), (["g"], 0)])
+def test_back_fill_carries_its_frame(spark, by, hot):
+    """A frame to the end of a span is built anew for each of its rows: 60,000 of them took minutes."""
+    df = spark.range(60_000).select(
+        F.lit(1).alias("g"), F.col("id").alias("k"), F.when(F.col("id") % 29_999 == 0, F.col("id")).alias("x"))
+    out = back_fill(df, ["x"], "k", by, hot_rows=hot)
+    assert "unboundedfollowing" not in out._jdf.queryExecution().analyzed().toString().lower()
+    want = F.when(F.col("k") <= 59_998, F.ceil(F.col("k") / 29_999) * 29_999)
+    assert out.where(~F.col("x").eqNullSafe(want)).count() == 0
+
+
 def test_hot_positions(rows):
     known = rows.where("case_id IS NOT NULL").drop("num_group1").dropDuplicates(["case_id", "price_A"]).where("price_A IS NOT NULL")
     plain = row_positions(known, ["case_id"], ["price_A"], value_block(F.col("price_A")), "at")
