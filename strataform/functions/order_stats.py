@@ -154,7 +154,8 @@ def exact_quantiles(
     The first pass shuffles block totals only and stores the blocks that hold a wanted
     position, 2 * len(probs) per group. Such a block of more than ``block_rows`` rows is split
     by its next bits, in a pass over its rows that again shuffles totals only; two more such passes at
-    most, and none where no block is crowded. The last pass shuffles the values of the found blocks. With
+    most, and none where no block is crowded. A block of one value, however many rows it has, is known
+    from its totals: it is neither split nor read. The last pass shuffles the values of the found blocks. With
     ``few_groups`` (a number of groups bounded by the schema) the block list is
     broadcast, and that pass drops the other rows before its shuffle.
     """
@@ -175,38 +176,48 @@ def exact_quantiles(
     here = f"exists({wanted}, t -> t >= _before AND t < _before + _m)"
 
     def at(level: int) -> DataFrame:
-        return base.withColumn("_block", value_block(F.col("_v"), level))
-
-    blocks = at(0).groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("_m")).select(
-        *_BLOCK, "_m", _before("_m", "_block", _GROUP).alias("_before"),
+        # keys are dear: below the first level only rows of blocks that are split get one
+        inside = at(level - 1).join(
+            F.broadcast(crowded_at[level - 1]), list(_BLOCK), "left_semi") if level else base
+        return inside.withColumn("_block", value_block(F.col("_v"), level))
+
+    ends = [F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    blocks = at(0).groupBy(*_BLOCK).agg(F.count(F.lit(1)).alias("_m"), *ends).select(
+        *_BLOCK, "_m", "_lo", "_hi", _before("_m", "_block", _GROUP).alias("_before"),
         F.sum("_m").over(whole).alias("rows"), F.count("_m").over(whole).alias("blocks"),
     )
-    hits, most = _kept(blocks.where(here))
+    many = F.col("_lo") < F.col("_hi")
+    hits, most = _kept(blocks.where(here), many)
     found, crowded_at = [], []  # of each level: the blocks to read, the blocks to split
     for level in range(1, len(LEVELS)):
         if most <= block_rows:
             break
-        crowded = hits.where(F.col("_m") > block_rows)
-        found.append(hits.where(F.col("_m") <= block_rows))
+        crowded = hits.where((F.col("_m") > block_rows) & many)
+        found.append(hits.where((F.col("_m") <= block_rows) | ~many))
         crowded_at.append(crowded.select(*_BLOCK))
         # A list of at most rows / block_rows blocks.
-        inside = at(level - 1).join(F.broadcast(crowded.drop("_m")), list(_BLOCK)).withColumnRenamed("_block", "_of")
+        inside = at(level - 1).join(F.broadcast(crowded.drop("_m", "_lo", "_hi")), list(_BLOCK)).withColumnRenamed(
+            "_block", "_of")
         split = inside.groupBy("_key", "_of", value_block(F.col("_v"), level).alias("_block")).agg(
-            F.count(F.lit(1)).alias("_m"), *[F.max(c).alias(c) for c in ("_before", "rows", "blocks")])
+            F.count(F.lit(1)).alias("_m"), *ends, *[F.max(c).alias(c) for c in ("_before", "rows", "blocks")])
         split = split.withColumn("_before", F.col("_before") + _before("_m", "_block", ("_key", "_of")))
-        hits, most = _kept(split.drop("_of").select(*hits.columns).where(here))
+        hits, most = _kept(split.drop("_of").select(*hits.columns).where(here), many)
     found.append(hits)
 
     def read(level: int, listed: DataFrame) -> DataFrame:
-        listed = listed.drop("_m")
+        # of one value, and of both zeros alike, as grouping has them
+        known = listed.where(~many).select(
+            *_BLOCK, (F.col("_lo") + F.lit(0.0)).alias("_v"), F.col("_m").alias("n"), "_before", "rows", "blocks",
+            F.lit(level).alias("_level"))
+        listed = listed.where(many).drop("_m", "_lo", "_hi")
         own = at(level)
-        if level < len(found) - 1:  # rows of split blocks, which may be most, are not shuffled by block
+        if level < len(crowded_at) and not few_groups:  # rows of split blocks, which may be most, are not shuffled by block
             own = own.join(F.broadcast(crowded_at[level]), list(_BLOCK), "left_anti")
         if few_groups or level:  # below the first level: parts of crowded blocks, as few as those
             listed = F.broadcast(listed)
         part = own.join(listed, list(_BLOCK))
         return part.groupBy(*_BLOCK, "_v").agg(F.count(F.lit(1)).alias("n"), *[
-            F.max(c).alias(c) for c in ("_before", "rows", "blocks")]).withColumn("_level", F.lit(level))
+            F.max(c).alias(c) for c in ("_before", "rows", "blocks")]).withColumn("_level", F.lit(level)).unionByName(known)
 
     counts = reduce(DataFrame.unionByName, [read(level, listed) for level, listed in enumerate(found)])
     ranked = counts.withColumn("_first", F.col("_before") + _before("n", "_v", ("_key", "_level", "_block")))
@@ -223,10 +234,10 @@ def exact_quantiles(
     )
 
 
-def _kept(hits: DataFrame) -> tuple[DataFrame, int]:
-    """Blocks as a stored table, and the rows of the largest, seen while it was written."""
+def _kept(hits: DataFrame, many: Column) -> tuple[DataFrame, int]:
+    """Blocks as a stored table, and the rows of the largest of ``many`` values, seen while it was written."""
     seen = Observation()
-    kept = materialise(hits.observe(seen, F.max("_m").alias("most")), "rank-blocks")
+    kept = materialise(hits.observe(seen, F.max(F.when(many, F.col("_m"))).alias("most")), "rank-blocks")
     return kept, seen.get["most"] or 0
 
 

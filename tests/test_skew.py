@@ -242,6 +242,23 @@ def test_quantiles_of_values_in_one_block(spark, few, limit):
         assert [r[f"q{i}"] for i in range(5)] == pytest.approx(want[r["k"]], rel=1e-15)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_blocks_of_one_value_are_not_split(spark, monkeypatch, few):
+    """Copies of few values are ranked from totals, whatever their number; keys of single rows are not made."""
+    levels = []
+    made = order_stats.value_block
+    monkeypatch.setattr(order_stats, "value_block", lambda v, level=0: levels.append(level) or made(v, level))
+    zero = F.when(F.col("id") % 2 == 0, 0.0).otherwise(F.lit(-1.0) * F.lit(0.0))
+    df = spark.range(4000).select((F.col("id") % 2).alias("k"), F.when(F.col("id") < 900, zero).otherwise(
+        F.col("id") % 7 / 100).alias("v"))
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    got = {r["k"]: r for r in exact_quantiles(df, ["k"], probs, value="v", few_groups=few, block_rows=10).collect()}
+    assert set(levels) == {0}
+    for r in df.groupBy("k").agg(F.percentile("v", probs).alias("p"), F.count("v").alias("n")).collect():
+        assert [got[r["k"]][f"q{i}"] for i in range(6)] == pytest.approx(r["p"]) and got[r["k"]]["rows"] == r["n"]
+        assert str(got[r["k"]]["q1"]) == "0.0"
+
+
 def test_no_window_passes_the_limit(spark, monkeypatch):
     """Of 2000 rows in one block, the last windows hold blocks of at most 50 rows, or of one value."""
     sizes = []
