@@ -89,6 +89,8 @@ def apply_spec(df: DataFrame, spec: Mapping) -> DataFrame:
             prop = entry["properties"]
             pairs = [(str(v), float(e)) for v, e in zip(prop["value"], prop["encoded"])]
             means = spark.createDataFrame(pairs, "value string, encoded double")
+            if len(pairs) <= MAX_CATEGORIES:  # few values: a shuffle by them would bring a share of all rows to one task
+                means = F.broadcast(means)
             if prop.get("table"):
                 means = spark.read.parquet(prop["table"]).where(F.col("col") == column).select("value", "encoded")
             df = target_encode(df.withColumn(column, as_category(df, column)), column, means)

@@ -388,3 +388,30 @@ def test_fill_by_type(spark):
     assert [tuple(r) for r in fill_by_type(rows, "at").orderBy("at").collect()] == [
         (1, "NA", 3.0, 7), (2, "x", 3.0, 7), (3, "NA", 3.0, 7), (4, "", None, None)]
     assert fill_by_type(rows.limit(0), "at").count() == 0
+
+
+def test_listed_means_are_not_joined_by_category(spark):
+    """A shuffle by a category of few values would bring a share of all rows to one task."""
+    from strataform.operators.encode import apply_spec
+
+    spec = {"flag": {"type": "target_encoding", "properties": {"value": ["A", "R"], "encoded": [0.25, 0.75]}}}
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 4 > 0, "A").otherwise("X").alias("flag"))
+    out = apply_spec(rows, spec)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    assert out.groupBy("flag").count().orderBy("flag").collect() == [(0.0, 250), (0.25, 750)]
+
+
+def test_a_training_task_holds_a_bounded_number_of_values(spark, monkeypatch):
+    from strataform.operators import models
+
+    rows = spark.range(3000).select("id", (F.col("id") % 10).cast("double").alias("x"), (F.col("id") % 10 > 6).cast("int").alias("target"))
+    small = rows.coalesce(1)
+    assert models._spread(small, 1) is small
+    monkeypatch.setattr(models, "TASK_VALUES", 900)
+    spread = models._spread(small, 1)  # nine fields a row: 100 rows a task
+    assert spread.rdd.getNumPartitions() == 30 and spread.rdd.glom().map(len).max() <= 100
+    assert sorted(spread.collect()) == sorted(rows.collect())
+    model = models.train_trees(rows, ["x"], params={"maxIter": 2, "maxDepth": 2})
+    scored = models.score_frame(model, rows, ["x"], ["target"])
+    assert scored.where((F.col("score") > 0.5) != (F.col("target") == 1)).count() == 0
