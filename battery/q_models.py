@@ -17,13 +17,13 @@ SMALL = {"maxIter": 5, "maxDepth": 3}
 
 
 def matrix(spark, sf_dir):
-    """Case aggregates; the target asks whether a case has a large quantity."""
+    """Case aggregates, stored as every training reads them often; the target asks whether a case has a large quantity."""
     rows = v.child1(spark, sf_dir, False).groupBy("case_id").agg(
         F.avg("price_A").alias("mean_price"), F.max("price_A").alias("max_price"),
         F.avg("quantity_A").alias("mean_quantity"), F.count(F.lit(1)).alias("n_lines"),
         F.max("flag_M").alias("max_flag"), (F.max("quantity_A") >= 40).cast("int").alias("target"),
     )
-    return rows.join(v.base(spark, sf_dir).select("case_id", "WEEK_NUM"), "case_id")
+    return materialise(rows.join(v.base(spark, sf_dir).select("case_id", "WEEK_NUM"), "case_id"), "matrix")
 
 
 def parts(spark, sf_dir):
