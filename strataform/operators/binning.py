@@ -16,6 +16,7 @@ from strataform.functions.columns import FLOATING, columns_of
 from strataform.functions.order_stats import exact_quantiles, long_values
 from strataform.operators.joins import with_group_totals
 from strataform.operators.projections import promote_numeric_text
+from strataform.session import materialise
 
 MISSING = "Missing"
 
@@ -144,6 +145,8 @@ def bin_counts(
     """
     keep = [*columns, label, *([holdout] if holdout else [])]
     df = _plain_floats(df.select(*dict.fromkeys(keep)))
+    if bins is None:  # edges, sizes and counts each read the rows: what leads to them is run once
+        df = materialise(df, "binned")
     texts = [c for c in columns if isinstance(df.schema[c].dataType, T.StringType)]
     if texts:
         promoted = promote_numeric_text(df.select(*texts))
@@ -177,7 +180,8 @@ def fine_class_report(
 
     Without a holdout flag only the development columns are returned.
     """
-    counts = bin_counts(df, columns, label, holdout, **options)
+    # a row per bin, which the totals read again and again
+    counts = materialise(bin_counts(df, columns, label, holdout, **options), "bin-counts")
     sides = [f"{p}_{k}" for p in ("dev", "val") for k in ("good", "bad")]
     counts = counts.selectExpr("col", "bin", "bin_order", *sides, *[
         text for p in ("dev", "val") for text in (

@@ -417,17 +417,6 @@ def test_a_training_task_holds_a_bounded_number_of_values(spark, monkeypatch):
     assert scored.where((F.col("score") > 0.5) != (F.col("target") == 1)).count() == 0
 
 
-def test_equal_means_are_equal_in_any_order(spark):
-    from strataform.functions.columns import ordered_mean
-
-    groups = {1: [0.1, 0.02, 0.06, 0.06], 2: [0.06, 0.06, 0.02, 0.1], 3: [0.06], 4: [0.06, 0.05, 0.07, None], 5: [None], 6: [1e300, 1e-300],
-              7: [float("nan"), 1.0], 8: [-0.03, 0.03]}
-    rows = spark.createDataFrame([(k, x) for k, xs in groups.items() for x in xs], "k int, x double").coalesce(1)
-    got = {r["k"]: r["m"] for r in rows.groupBy("k").agg(ordered_mean("x").alias("m")).collect()}
-    assert [got[k] for k in (1, 2, 3, 4)] == [0.06] * 4 and got[5] is None and got[6] == 5e299
-    assert math.isnan(got[7]) and got[8] == 0.0
-
-
 def test_tasks_of_a_tuned_session_have_a_bounded_share(spark):
     from strataform.session import LEAST_PARTS, tune
 
@@ -437,3 +426,17 @@ def test_tasks_of_a_tuned_session_have_a_bounded_share(spark):
     assert len(out.collect()) == 50
     text = out._jdf.queryExecution().executedPlan().toString()
     assert f", {LEAST_PARTS})" in text and ", 3)" not in text
+
+
+def test_reports_of_bins_run_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return float(x)
+
+    rows = spark.range(60).select(counted("id").alias("x"), (F.col("id") % 2).cast("int").alias("target"))
+    report = binning.fine_class_report(rows, ["x"], "target").collect()
+    assert len(report) == 10 and {r["dev_all"] for r in report} == {6}
+    assert seen.value == 60
