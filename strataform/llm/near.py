@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.common import discard, stored
-from strataform.llm.simhash import Segment, connected, fingerprint
-from strataform.llm.verify import Near, described, exact_groups, set_nodes
+from strataform.llm.simhash import Segment, _mixed, connected, fingerprint
+from strataform.llm.verify import Near, described, exact_groups, partnered, set_nodes
 
 #: Ten tables of 25 bits: at a similarity of 0.8 some 15 % of the bits differ, and a segment meets in a quarter of all cases.
 TABLES: tuple[Segment, ...] = tuple((word, low, 25) for word in range(5) for low in (0, 32))
@@ -19,7 +19,8 @@ def _partners(most: int, room: int = 1 << 16):
     """From rows ``key, id, check`` sorted by key: those that have another row of their key within ``most`` bits of ``check``.
 
     Texts that merely fall into one bucket are dropped here, so that what is passed on grows with the links and not with
-    the square of the table. A key of more than ``room`` rows passes in pieces, and whole.
+    the square of the table. What stays of a bucket gets a hash of its ids as its key, so that buckets of the same rows are
+    one (two texts of one segment meet in 26). A key of more than ``room`` rows passes in pieces, and whole.
     """
     def run(batches):
         import numpy as np
@@ -51,7 +52,18 @@ def _partners(most: int, room: int = 1 << 16):
                     ok[:] = True
                 for n in alone[:256]:
                     ok[n] |= near(own, own[n]).sum() > 1
-            return pa.record_batch({"key": pa.array(keys[fits]), "id": pa.array(ids[fits])})
+            keys, ids = keys[fits], ids[fits]
+            if len(keys):
+                starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                own = ids.view(np.uint64)
+                found = _mixed(np.bitwise_xor.reduceat(_mixed(own, 1), starts), 2) + np.add.reduceat(_mixed(own, 3), starts)
+                _, first = np.unique(found, return_index=True)
+                kept = np.zeros(len(starts), bool)
+                kept[first] = True
+                sizes = np.diff(np.r_[starts, len(keys)])
+                rows = np.repeat(kept, sizes)
+                keys, ids = np.repeat(found.view(np.int64), sizes)[rows], ids[rows]
+            return pa.record_batch({"key": pa.array(keys), "id": pa.array(ids)})
 
         held, hot = [np.empty(0, np.int64)] * 3, None
         for batch in batches:
@@ -123,7 +135,8 @@ def similar(
     Texts have fingerprints of ``words`` times 64 bits. Multi-index hashing finds candidates: a table
     for each segment, a text filed under its segment and all one-bit neighbours, so that segments that
     differ in two bits meet. Those that differ in more than ``check`` of 64 other bits from all they meet are dropped at
-    once. Candidates whose whole fingerprints differ in ``most`` bits or fewer are linked if
+    once, and so are those that sizes, sketches and whole fingerprints (``most`` bits) tell apart from all they meet.
+    Candidates whose whole fingerprints differ in ``most`` bits or fewer are linked if
     the Jaccard similarity of the shingle sets is ``part / whole`` or more, exactly: no wrong link is made; pairs
     whose segments all differ in three bits or more are missed (the README has the share).
 
@@ -140,10 +153,13 @@ def similar(
     word = "conv(hex(substring(prints, {at}, 8)), 16, -10)"  # 64 bits as a signed number
     unpacked = nodes.select("id", *[
         F.expr(word.format(at=8 * n + 1)).cast("long").alias(f"w{n}") for n in range(words)])
-    met = stored(
-        _filed(unpacked, segments, words, nodes.count(), crowd).mapInArrow(_partners(check), "key long, id long"), "shared-keys")
-    groups = exact_groups(rows, nodes, met, shingle, Near(part, whole, most), chunk)
+    shared = stored(_filed(unpacked, segments, words, nodes.count(), crowd).mapInArrow(
+        _partners(check), "key long, id long").distinct(), "shared-keys")
+    near = Near(part, whole, most)
+    met = partnered(shared, nodes, near)
+    groups = exact_groups(rows, nodes, met, shingle, near, chunk)
     classes = connected(nodes, groups, ["d0", "d1"])
     out = sets.select("key", "d0", "d1").join(classes, ["d0", "d1"]).select(F.col("key").alias(key), "component_id")
-    discard(met)
+    for read in (shared, met):
+        discard(read)
     return out

@@ -91,16 +91,118 @@ class Near:
         return fits
 
 
-def _pivots(met: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of each bucket's pivot with its members.
+def partnered(met: DataFrame, nodes: DataFrame, near: Near, room: int = 1024) -> DataFrame:
+    """Of buckets ``key, id`` (stored, no row twice) the rows that ``near`` lets pass with another of their bucket, with the
+    bucket's pivot: ``key, id, head, many`` as of ``headed``, stored.
+
+    No link is lost, as pairs that ``near`` refuses are none. Families whose members are alike but not similar enough fill
+    buckets with each other; they end here, where they are compared a bucket at a time, and no later step carries them.
+    A pivot is the row whose fingerprint is the closest to those of the bucket (of 64 of them, if there are more). A bucket
+    of more than ``room`` rows passes in pieces, and whole.
+    """
+    def run(batches):
+        import numpy as np
+
+        def pivot(ids, prints):
+            score = np.zeros(len(ids), np.int64)
+            for n in range(min(64, len(ids))):
+                differ = np.bitwise_count(prints ^ prints[n]).sum(axis=-1, dtype=np.int64)
+                score += np.maximum(0, 64 * prints.shape[1] - 2 * differ)  # 0: no more alike than others
+            return int(np.lexsort((ids, -score))[0])
+
+        def kept(ids, sizes, bits, prints):
+            """The rows with a partner, and the pivot's place."""
+            lengths = np.array([len(b) for b in bits])
+            kinds = [np.flatnonzero(lengths == n) for n in np.unique(lengths)]
+            kinds = [(k, np.stack([bits[n] for n in k]), prints[k], sizes[k]) for k in kinds]
+
+            def partners(q):
+                fits = np.zeros(len(ids), bool)
+                for kind, group, group_prints, group_sizes in kinds:
+                    fits[kind] = near.many(sizes[q], bits[q], prints[q], group_sizes, group, group_prints)
+                fits[q] = False
+                return fits
+
+            head = pivot(ids, prints) if len(ids) > 2 else 0
+            ok = partners(head)
+            ok[head] = ok.any()
+            for q in range(len(ids)):
+                if not ok[q] and q != head:
+                    now = partners(q)
+                    ok |= now
+                    ok[q] = now.any()
+            if not ok[head] and ok.any():
+                rest = np.flatnonzero(ok)
+                head = int(rest[pivot(ids[rest], prints[rest])])
+            return ok, head
+
+        def passed(key, ids, head, many):
+            return [np.full(len(ids), x) if n != 1 else x for n, x in enumerate((key, ids, head, many))]
+
+        def bucket(keys, ids, sizes, bits, prints):
+            if len(ids) > room:
+                return passed(keys[0], ids, ids[pivot(ids, prints)], True)
+            ok, head = kept(ids, sizes, [np.frombuffer(b, np.uint64) for b in bits], prints)
+            return passed(keys[0], ids[ok], ids[head], bool(ok.sum() > 2))
+
+        def batch_of(parts):
+            return pa.record_batch(dict(zip(("key", "id", "head", "many"), map(pa.array, map(np.concatenate, zip(*parts))))))
+
+        def columns(batch):
+            prints = np.frombuffer(b"".join(batch.column("prints").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            return [*(batch.column(c).to_numpy() for c in ("key", "id", "size")),
+                    np.array(batch.column("bits").to_pylist(), object), prints]
+
+        rest, hot, head = None, None, 0  # rows of the last key so far; a key that passes in pieces, and its pivot
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = columns(batch) if rest is None else [np.concatenate(x) for x in zip(rest, columns(batch))]
+            rest = None
+            if hot is not None:
+                end = int(np.searchsorted(now[0], hot, "right"))
+                if end:
+                    yield batch_of([passed(hot, now[1][:end], head, True)])
+                now = [x[end:] for x in now]
+                if not len(now[0]):
+                    continue
+                hot = None
+            starts = np.flatnonzero(np.r_[True, now[0][1:] != now[0][:-1]])
+            parts = [bucket(*[x[b:e] for x in now]) for b, e in zip(starts[:-1], starts[1:])]
+            rest = [x[starts[-1]:] for x in now]
+            if len(rest[0]) > room:
+                hot, head = rest[0][0], rest[1][pivot(rest[1], rest[4])]
+                parts.append(passed(hot, rest[1], head, True))
+                rest = None
+            if parts:
+                yield batch_of(parts)
+        if rest is not None:
+            yield batch_of([bucket(*rest)])
+
+    own = met.groupBy("id").agg(F.collect_list("key").alias("keys"))  # as many keys as a text is filed under, at most
+    rows = own.join(nodes.select("id", "size", "bits", "prints"), "id").select(
+        F.explode("keys").alias("key"), "id", "size", "bits", "prints")
+    return stored(rows.repartition("key").sortWithinPartitions("key").mapInArrow(
+        run, "key long, id long, head long, many boolean"), "met")
+
+
+def headed(met: DataFrame) -> DataFrame:
+    """Buckets ``key, id`` with each row's pivot: ``key, id, head, many``, stored; ``many``: the bucket has more than two rows.
 
     A pivot is the member that meets others most often: of copies of one original, that is the original. It is found by
     a maximum that combines on the map side.
     """
     often = met.groupBy("id").agg(F.count("*").alias("n"))
     ranked = met.join(often, "id").select("key", "id", F.struct("n", (-F.col("id")).alias("id")).alias("rank"))
-    heads = ranked.groupBy("key").agg(F.max("rank").alias("head"))
-    return ranked.join(heads, "key").select((-F.col("head.id")).alias("a"), F.col("id").alias("b")).where("a <> b").distinct()
+    heads = ranked.groupBy("key").agg(F.max("rank").alias("head"), (F.count("*") > 2).alias("many"))
+    return stored(
+        ranked.join(heads, "key").select("key", "id", (-F.col("head.id")).alias("head"), "many"), "headed")
+
+
+def _pivots(met: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of each bucket's pivot with its members, once each and stored; ``many``: of a bucket of more than two."""
+    pairs = met.where("head <> id").groupBy(F.col("head").alias("a"), F.col("id").alias("b"))
+    return stored(pairs.agg(F.max("many").alias("many")), "pivots")
 
 
 def _links(one, two):
@@ -187,25 +289,30 @@ def _checked(rows: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     return links
 
 
-def _apart(met: DataFrame, nodes: DataFrame, groups: DataFrame, near: Near, chunk: int, few: bool) -> DataFrame:
+def _apart(
+    met: DataFrame, pivots: DataFrame, nodes: DataFrame, groups: DataFrame, near: Near, chunk: int, few: bool,
+) -> DataFrame:
     """Pairs of a bucket whose members are in different groups (``node, component``) and that ``near`` lets pass.
 
-    Buckets of two members, of one group, or equal to another bucket, have nothing to add. In the others the
-    members outside the greatest group are compared with all members of other groups, in blocks of ``chunk`` and
-    ``chunk``: copies grow with what is apart, not with the bucket. With ``few``, a block gives no more pairs than would
-    join its groups.
+    Buckets of two members, of one group, or equal to another bucket, have nothing to add. A bucket is of one group if all
+    members are in its pivot's, so that only pairs of ``pivots`` are looked up, and rows of buckets only where one of those
+    is still apart. In the others the members outside the greatest group are compared with all members of other groups, in
+    blocks of ``chunk`` and ``chunk``: copies grow with what is apart, not with the bucket. With ``few``, a block gives no
+    more pairs than would join its groups.
     """
-    labelled = met.join(groups, met["id"] == groups["node"], "left").select(
-        "key", "id", F.coalesce("component", "id").alias("label"))
-    found = labelled.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"),
-        F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"),
-    ).where("n > 2 AND low <> high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    open_ = stored(labelled.join(found, "key"), "open-buckets")
-    sizes = open_.groupBy("key", "label").agg(F.count("*").alias("own"), F.first("n").alias("n"))
-    top = sizes.groupBy("key").agg(F.max(F.struct("own", "label")).alias("top"), F.first("n").alias("n")).select(
-        "key", F.col("top.label").alias("great"), F.ceil((F.col("n") - F.col("top.own")) / chunk).alias("asks"),
-        F.ceil(F.col("n") / chunk).alias("parts"))
+    side = lambda n: groups.select(F.col("node").alias(n), F.col("component").alias(f"{n}_group"))
+    split = pivots.where("many").join(side("a"), "a", "left").join(side("b"), "b", "left").where(
+        "coalesce(a_group, a) <> coalesce(b_group, b)").select(F.col("a").alias("head"), F.col("b").alias("id"))
+    left = met.join(split, ["head", "id"]).where("many").select("key").distinct()
+    open_ = stored(met.join(left, "key", "left_semi").join(groups, met["id"] == groups["node"], "left").select(
+        "key", "id", F.coalesce("component", "id").alias("label")), "open-buckets")
+    sizes = open_.groupBy("key", "label").agg(
+        F.count("*").alias("own"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+    top = sizes.groupBy("key").agg(
+        F.sum("own").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"), F.max(F.struct("own", "label")).alias("top"),
+    ).groupBy("n", "x", "y").agg(F.min(F.struct("key", "top")).alias("one")).select(
+        F.col("one.key").alias("key"), F.col("one.top.label").alias("great"),
+        F.ceil((F.col("n") - F.col("one.top.own")) / chunk).alias("asks"), F.ceil(F.col("n") / chunk).alias("parts"))
     rows = open_.join(top, "key").select(
         "key", "id", "label", "great", "asks", "parts", F.xxhash64("id").alias("h"))
     asked = rows.select(
@@ -280,7 +387,8 @@ def exact_groups(
     """Components ``node, component`` over all pairs that share a bucket and whose sets are similar.
 
     ``rows``: ``key, text``, a key telling texts apart; ``nodes``: stored ``id, least`` (a key of a text with this
-    set), ``size, bits, prints``; ``met``: stored ``key, id``, no row twice. No pair is lost:
+    set), ``size, bits, prints``; ``met``: stored ``key, id``, no row twice, with ``head, many`` as ``headed`` makes them,
+    which is done here if they are missing. No pair is lost:
 
     1. each bucket's members are compared with its pivot; components of what is similar;
     2. of one bucket's groups that are still apart, those pairs that may be similar and would join them all; components anew;
@@ -290,18 +398,22 @@ def exact_groups(
     shingle sets themselves, made again from the texts of those rows.
     """
     part, whole = near.part, near.whole
-    seen = stored(_filtered(_pivots(met), nodes, near), "pairs")
+    own = met if "head" in met.columns else headed(met)
+    pivots = _pivots(own)
+    seen = stored(_filtered(pivots.select("a", "b"), nodes, near), "pairs")
     links = _checked(rows, nodes, seen, shingle, part, whole)
     groups = components(links, "joined")
     for few in (True, False):
         order = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        rest = stored(_apart(met, nodes, groups, near, chunk, few).join(order(seen), ["a", "b"], "left_anti"), "pairs")
+        rest = stored(_apart(own, pivots, nodes, groups, near, chunk, few).join(order(seen), ["a", "b"], "left_anti"), "pairs")
         if not rest.isEmpty():
             seen = seen.unionByName(rest)
             more = _checked(rows, nodes, rest, shingle, part, whole)
             if not more.isEmpty():
                 links = links.unionByName(more)
                 groups = components(links, "joined")
+    for read in (pivots, *([own] if own is not met else [])):
+        discard(read)
     return groups
 
 

@@ -194,3 +194,68 @@ def test_top_k_of_large_components(spark, size):
         scores = sorted((-min(high, max(low, sum(a * b for a, b in zip(x[q], x[i])))), i) for i in range(120) if i != q)
         want |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scores[:5])}
     assert set(map(tuple, top_k(df, "vec_id", "embedding").collect())) == want
+
+
+def test_a_family_of_alike_texts_leaves_no_rows(spark, monkeypatch):
+    """Texts that share buckets, but none of which is similar enough to another, end before the links are looked for."""
+    from strataform.llm import near
+
+    rng = random.Random(12)
+    original = [f"w{i}" for i in range(150)]
+    made = []
+    for n in range(300):
+        text = list(original)
+        for at in rng.sample(range(150), 5):  # 23 of 146 shingles change, in others 25 more: similarity under 0.8
+            text[at] = f"x{n}.{at}"
+        made.append(" ".join(text))
+    sets = [shingled(t, 5) for t in made]
+    alike = {(a, b) for a in range(300) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    seen, groups = [], near.exact_groups
+
+    def counted(rows, nodes, met, *rest):
+        seen.append(met.count())
+        return groups(rows, nodes, met, *rest)
+
+    monkeypatch.setattr(near, "exact_groups", counted)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in near.similar(df, "doc_id", "text").collect()}
+    assert seen[0] <= 100 * len({n for pair in alike for n in pair})
+    assert all(got[n] == n for n in range(300) if not any(n in pair for pair in alike))
+
+
+@pytest.mark.parametrize("room", [1024, 20])
+def test_rows_without_a_partner_leave_their_bucket(spark, room):
+    """Against brute force; a bucket of more than ``room`` rows stays whole."""
+    from strataform.llm.common import stored
+    from strataform.llm.verify import Near, partnered, sketch
+
+    rng = np.random.default_rng(7)
+    base, sets, prints = rng.integers(0, 1 << 63, 120, np.uint64), [], []
+    for n in range(60):
+        own = base.copy()
+        change = rng.integers(0, 40)
+        own[:change] = rng.integers(0, 1 << 63, change, np.uint64)
+        sets.append(np.unique(own[: 120 - n % 3]))
+        prints.append(rng.integers(0, 4, 5, np.uint64).tobytes())
+    nodes = spark.createDataFrame(
+        [(n, len(s), bytearray(sketch(s)), bytearray(p)) for n, (s, p) in enumerate(zip(sets, prints))],
+        "id long, size long, bits binary, prints binary")
+    buckets = {k: sorted(rng.choice(60, int(size), replace=False).tolist()) for k, size in enumerate([2] * 20 + [5] * 20 + [30])}
+    met = stored(spark.createDataFrame([(k, i) for k, ids in buckets.items() for i in ids], "key long, id long"), "shared-keys")
+    near = Near(4, 5, 96)
+
+    def passes(a, b):
+        one, two = (np.frombuffer(sketch(sets[n]), np.uint64) for n in (a, b))
+        return near.many(len(sets[a]), one, np.frombuffer(prints[a], np.uint64), np.array([len(sets[b])]), two[None],
+                         np.frombuffer(prints[b], np.uint64)[None])[0]
+
+    got = {}
+    for r in partnered(met, nodes, near, room).collect():
+        got.setdefault(r.key, []).append(r)
+    for k, ids in buckets.items():
+        want = ids if len(ids) > room else [a for a in ids if any(a != b and passes(a, b) for b in ids)]
+        assert sorted(r.id for r in got.get(k, [])) == want
+        if want:
+            assert {r.head for r in got[k]} <= set(want) and len({r.head for r in got[k]}) == 1
+            assert {r.many for r in got[k]} == {len(want) > 2}
+    assert len(got) < len(buckets)
