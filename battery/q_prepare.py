@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from battery import q_aggregates as qa, q_generator as qg, views as v
 from battery.registry import query
 from strataform.plans import definition as d, depth2 as nested, matrix, prepare
-from strataform.session import scratch_path
+from strataform.session import materialise, scratch_path
 from strataform.sources.catalog import Catalog
 
 DEPTH1_ITEMS = ['d.case_id', 'd.num_group1', 'round(d.total_A, 6) AS "total_A"', 'd.status_L AS "status_L"',
@@ -62,9 +62,11 @@ def r1(spark, sf_dir):
     folder = f"{root}/parquet_files/train"
     wide = qa.APPLICATION_VIEW.replace("num_group1,", "num_group1, num_group2,", 1)
     v.static0(spark, sf_dir).write.parquet(f"{folder}/train_static_0_0.parquet")
+    depth1 = materialise(v.depth1(spark, sf_dir), "depth1")  # positions of both topics are numbered once
+    depth2 = materialise(v.depth2(spark, sf_dir, True), "depth2")
     for topic, text in (("applprev", wide), ("credit_bureau_b", qa.BUREAU_B_VIEW)):
-        v.depth1(spark, sf_dir).write.parquet(f"{folder}/train_{topic}_1.parquet")
-        qa.nested_view(spark, sf_dir, text, True).write.parquet(f"{folder}/train_{topic}_2.parquet")
+        depth1.write.parquet(f"{folder}/train_{topic}_1.parquet")
+        spark.sql(text, fx_depth2=depth2).write.parquet(f"{folder}/train_{topic}_2.parquet")
     catalog = Catalog(spark, root)
     topics = [("static", 0), ("applprev", 1), ("applprev", 2), ("credit_bureau_b", 1), ("credit_bureau_b", 2)]
     prepare.prepare_all(catalog, "train", topics)

@@ -1,5 +1,6 @@
 """Small frames for nulls, ties, clashes, unknown values and bad input."""
 
+import datetime
 import math
 
 import pytest
@@ -440,3 +441,32 @@ def test_reports_of_bins_run_their_input_once(spark):
     report = binning.fine_class_report(rows, ["x"], "target").collect()
     assert len(report) == 10 and {r["dev_all"] for r in report} == {6}
     assert seen.value == 60
+
+
+def test_prepare_numbers_rows_once(spark, tmp_path, monkeypatch):
+    """Both topics of r1 read the stored positions; each view is planned once."""
+    from battery import QUERIES, views
+
+    rows = {
+        "customer": ("c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey long", [(1, 5.0, "A", 0), (2, 6.0, "B", 0)]),
+        "nation": ("n_nationkey long, n_name string", [(0, "X")]),
+        "orders": (
+            "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string, o_orderdate timestamp_ntz",
+            [(n, 1 + n % 2, 10.0 * n, "F", "1-URGENT", datetime.datetime(1995, 1, 1 + n)) for n in range(6)]),
+        "lineitem": (
+            "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate timestamp_ntz, l_extendedprice double, "
+            "l_linestatus string, l_returnflag string, l_discount double",
+            [(n % 6, n // 6, n, n, datetime.datetime(1995, 2, 1), 1000.0 * n, "FO"[n % 2], "ARN"[n % 3], 0.05) for n in range(18)]),
+    }
+    for name, (schema, data) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    calls = []
+    for name in ("depth1", "depth2"):
+        def counted(*args, name=name, made=getattr(views, name)):
+            calls.append(name)
+            return made(*args)
+
+        monkeypatch.setattr(views, name, counted)
+    got = {r.topic: (r.rows, r.checked) for r in QUERIES["r1_prepare_topics"](spark, str(tmp_path)).collect()}
+    assert got == {"applprev_1": (6, 3), "credit_bureau_b_1": (6, 18), "static_0": (2, 3)}
+    assert sorted(calls) == ["depth1", "depth2"]
