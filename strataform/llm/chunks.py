@@ -43,15 +43,15 @@ class PieceCache(dict):
     def values(self, pieces: list[str], encode_many: Callable[[list[str]], Iterable], at_once: int = 10_000) -> list:
         """The values of different pieces; what is new is encoded by few calls."""
         found = list(map(self.get, pieces))
-        new, again, older = [], {}, self._older
-        for n in [n for n, value in enumerate(found) if value is None]:
-            piece = pieces[n]
-            value = older.get(piece)
-            if value is not None:
-                found[n] = again[piece] = value
-            elif piece and not piece[-1].isspace():
-                new.append(n)
-        self._keep(again)
+        new = [n for n, value in enumerate(found) if value is None]
+        if self._older:
+            again = {}
+            for n, value in zip(new, map(self._older.get, [pieces[n] for n in new])):
+                if value is not None:
+                    found[n] = again[pieces[n]] = value
+            self._keep(again)
+            new = [n for n in new if found[n] is None]
+        new = [n for n in new if pieces[n] and not pieces[n][-1].isspace()]
         for at in range(0, len(new), at_once):
             some = new[at:at + at_once]
             words = [pieces[n] for n in some]
@@ -87,7 +87,7 @@ class TextEncoder:
             special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
         split = pc.split_pattern(pc.if_else(pa.array(special), "", texts), " ")
         coded = split.flatten().dictionary_encode()
-        pieces, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        pieces, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         values = self._rest.values(pieces, self._many)
         sizes = np.array([len(v) // width if v is not None else 0 for v in values], np.int64)
         open_end = np.array([v is None for v in values], bool)  # a text may not be cut behind such a piece

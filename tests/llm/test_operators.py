@@ -469,6 +469,21 @@ def test_records_round_trip(spark, docs):
     assert read_records(write_records(empty(docs), "doc_id", "text", BYTES, end_id=2)).count() == 0
 
 
+def test_blocks_of_texts_through_a_small_cache():
+    """Ids are those of single texts, through both generations of a small cache."""
+    import pyarrow as pa
+
+    from strataform.llm.packing import _library_encoder
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdé,.\n\u3000", k=rng.randint(0, 4)))
+    texts = [None, "", " ", *(" ".join(word() for _ in range(40)) for _ in range(200))]
+    small, large = _library_encoder(BYTES, 2, 30), _library_encoder(BYTES, 2, 100_000)
+    for begin in range(0, len(texts), 20):
+        block = texts[begin:begin + 20] + texts[:5]
+        assert list(small.encode_block(pa.array(block, pa.string()), 2)) == [large.encode(t or "") for t in block]
+
+
 def test_hot_key_spans_files(spark):
     from strataform.llm.records import read_records, write_records
 
