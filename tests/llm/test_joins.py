@@ -152,6 +152,43 @@ def test_keys_are_filed_alike_however_groups_are_dealt(spark, crowd):
         assert tasks.setdefault(r.key, r.task) == r.task
 
 
+@pytest.mark.parametrize("batch, room", [(10_000, 1 << 16), (100, 1 << 16), (100, 50), (100, 3)])
+def test_buckets_of_a_dense_family_are_merged(batch, room):
+    """Who meets in a bucket meets in a group; a text of a family passes a few times, not under nearly all of its keys."""
+    import numpy as np
+    import pyarrow as pa
+
+    from strataform.llm.near import _partners
+
+    rng = np.random.default_rng(4)
+    size, lower = 14, 10
+    family = rng.random((400, size)) < 0.1
+    others = rng.random((400, size)) < 0.5
+    own = (np.concatenate([family, others]) << np.arange(size)).sum(axis=1)
+    checks = np.r_[rng.choice([0, 1, 6], 400), rng.integers(-1 << 63, 1 << 63, 400)]
+    ids = rng.permutation(800) + (5 << 33)
+    keys = np.concatenate([own, *[own ^ (1 << b) for b in range(size)]]) | 3 << 40
+    rows = sorted(zip(keys.tolist(), np.tile(ids, size + 1).tolist(), np.tile(checks, size + 1).tolist()))
+    near, table = set(), {}
+    for key, one, check in rows:
+        for two, other in table.setdefault(key, []):
+            if ((check ^ other) % (1 << 64)).bit_count() <= 20:
+                near.add((min(one, two), max(one, two)))
+        table[key].append((one, check))
+    batches = [pa.record_batch(dict(zip(("key", "id", "check"), map(pa.array, zip(*rows[b:b + batch])))))
+               for b in range(0, len(rows), batch)]
+    got = [(k, i) for b in _partners(20, lower, room, 1024)(iter(batches)) for k, i in zip(*(c.to_pylist() for c in b.columns))]
+    groups = {}
+    for key, one in got:
+        groups.setdefault(key, set()).add(one)
+    meet = {(a, b) for g in groups.values() for a in g for b in g if a < b}
+    assert len(near) > 10_000 and near <= meet
+    if room > 50:
+        fitting = {(key, one) for key, bucket in table.items() for one, check in bucket if any(
+            two != one and ((check ^ other) % (1 << 64)).bit_count() <= 20 for two, other in bucket)}
+        assert 2 * len(got) < len(fitting), (len(got), len(fitting))
+
+
 def test_long_texts_that_share_one_line_stay_apart(spark):
     from strataform.llm.near import similar
 
