@@ -76,7 +76,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its sequence and its place there."""
-    pieces = token_pieces(docs, "doc_id", "text", tokenizer("word_bpe_49k.json"), end_id=1, most=4096, cached=200_000)
+    pieces = token_pieces(
+        docs, "doc_id", "text", tokenizer("word_bpe_49k.json"), end_id=1, most=4096, cached=200_000, block_bytes=2_000_000)
     return pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "length", room=4096)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataform.llm.chunks import TextEncoder, batched
-from strataform.llm.common import held, stored
+from strataform.llm.common import held, lean, stored
 
 
 def library_encoder(path: str, width: int = 4, cached: int = 500_000) -> TextEncoder:
@@ -84,11 +84,14 @@ def encoded(encoder: TextEncoder, texts: pa.Array, width: int = 4, block_bytes:
             yield from encoder.encode_block(texts.slice(begin, end - begin), width)
 
 
-def token_pieces(df: DataFrame, key: str, text: str, path: str, end_id: int, most: int, cached: int = 500_000) -> DataFrame:
+def token_pieces(
+    df: DataFrame, key: str, text: str, path: str, end_id: int, most: int, cached: int = 500_000,
+    block_bytes: int = 8_000_000,
+) -> DataFrame:
     """``key, piece, start, length, ids`` of each row's ids and ``end_id``, cut after every ``most`` ids.
 
     ``ids``: little-endian unsigned 32-bit. A null text is an empty one: its one piece is the end id.
-    ``cached`` bounds what a worker keeps; it changes time, never a result.
+    ``cached`` bounds what a worker keeps, and ``block_bytes`` the texts that are split at a time; they change time, never a result.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -97,13 +100,13 @@ def token_pieces(df: DataFrame, key: str, text: str, path: str, end_id: int, mos
         encoder, end, step = library_encoder(path, cached=cached), end_id.to_bytes(4, "little"), 4 * most
 
         def cut(batch):
-            for value, ids in zip(batch.column("key"), encoded(encoder, batch.column("text"))):
+            for value, ids in zip(batch.column("key"), encoded(encoder, batch.column("text"), 4, block_bytes)):
                 ids, own = ids + end, value.as_py()
                 for piece, at in enumerate(range(0, len(ids), step)):
                     part = ids[at:at + step]
                     yield own, piece, at // 4, len(part) // 4, part
 
-        for batch in batches:
+        for batch in lean(batches):
             yield from batched(cut(batch), pa.schema([
                 batch.schema.field("key"), pa.field("piece", pa.int32()), pa.field("start", pa.int64()),
                 pa.field("length", pa.int64()), pa.field("ids", pa.binary()),

@@ -592,3 +592,31 @@ def test_pipeline_drops_exact_near_copies(spark):
     df = spark.createDataFrame([*rows, rows[0], (None, made[0], "en")], "doc_id long, text string, lang string").repartition(3)
     got = drop_copies(spark, df, "").collect()
     assert sorted(map(tuple, got)) == [rows[i] for i in sorted(set(want.values()))]
+
+
+def test_workers_give_back_what_steps_leave(monkeypatch):
+    """Between batches Arrow's unused memory goes back, and the letter strings begin without other steps' caches."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from strataform.llm import common
+    from strataform.llm.toxicity import _followed
+
+    given = []
+    pool = SimpleNamespace(release_unused=lambda: given.append(1))
+    monkeypatch.setattr(common, "pa", SimpleNamespace(default_memory_pool=lambda: pool))
+    monkeypatch.setattr(common, "_HELD", {("library", "path", 4, 10): "a tokenizer and its pieces"})
+    batch = pa.record_batch({"toxic": pa.array([1, 0], pa.int32()), "text": pa.array(["One two, one", None])})
+    rows = [r for out in _followed(iter([batch, batch])) for r in out.to_pylist()]
+    assert collections.Counter(r["word"] for r in rows) == {"one": 4, "two": 2} and {r["toxic"] for r in rows} == {1}
+    assert len(given) == 2 and ("library", "path", 4, 10) not in common._HELD
+
+
+def test_pieces_do_not_depend_on_blocks(spark, docs):
+    from strataform.llm.packing import token_pieces
+
+    whole, small = (
+        sorted(map(str, token_pieces(docs, "doc_id", "text", WORDS, end_id=1, most=64, block_bytes=n).collect()))
+        for n in (8_000_000, 100))
+    assert whole == small
